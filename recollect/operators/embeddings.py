@@ -100,7 +100,7 @@ def pair_vector(
         F.col("cate").alias(cate), F.col("vec").alias("_cate_vec")
     )
     out = lookup_join(df, items, item, "left", df.columns, hot_rows)
-    out = lookup_join(out, cates, cate, "left", df.columns, hot_rows)
+    out = lookup_join(out, cates, cate, "left", df.columns, hot_rows, df)
     kind = dict(item_vectors.dtypes)["vec"]
 
     def filled(name: str, width: int):

@@ -31,9 +31,8 @@ def build_samples(
     """
     base = samples.select(*keep, "label_0", "uid", "iid")
     with_item = lookup_join(base, items.select(*S.ITEM_COLUMNS), "iid", hot_rows=hot_rows)
-    joined = lookup_join(
-        with_item, users.select(*S.USER_COLUMNS, *S.HISTORY_COLUMNS), "uid", hot_rows=hot_rows
-    )
+    user_rows = users.select(*S.USER_COLUMNS, *S.HISTORY_COLUMNS)
+    joined = lookup_join(with_item, user_rows, "uid", "left", base.columns, hot_rows, base)
     return joined.select(*keep, *[
         F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
         if c in (*S.USER_COLUMNS, *S.ITEM_COLUMNS) else F.col(c)

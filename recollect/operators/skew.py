@@ -70,6 +70,7 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Join many ``left`` rows to a keyed ``right`` table.
 
@@ -77,11 +78,14 @@ def lookup_join(
     a plain join is enough. Otherwise keys with more than ``hot_rows`` left rows are cut into
     pieces on the left and their right rows repeated, so that no task receives a whole hot key.
     ``spread`` names the columns that tell rows of one key apart (all left columns by default).
+    ``count_in`` is a table with the same key frequencies as ``left``, counted instead of it.
+    In a chain of lookups it is the table before the first one, so that counting keys does not
+    repeat the lookups already made.
     """
     on = [on] if isinstance(on, str) else list(on)
     if _spark_broadcasts(right):
         return left.join(right, on, how)
-    hot = hot_keys(left, on, hot_rows)
+    hot = hot_keys(left if count_in is None else count_in, on, hot_rows)
     salted = salt_many(left, on, hot, spread or left.columns)
     joined = salted.join(salt_one(right, on, hot), [*on, _SALT], how)
     return joined.drop(_SALT)

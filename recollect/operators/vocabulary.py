@@ -49,11 +49,12 @@ def index_ids(
     df: DataFrame, columns: Sequence[str], vocab: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``{column}_idx`` for scalar id columns; unseen ids and padding give 0."""
+    source = df
     for column in columns:
         keys = vocab.where(F.col("vocab") == S.vocabulary_of(column)).select(
             F.col("id").alias(column), F.col("idx").alias(f"{column}_idx")
         )
-        df = lookup_join(df, keys, column, "left", hot_rows=hot_rows)
+        df = lookup_join(df, keys, column, "left", source.columns, hot_rows, source)
         df = df.withColumn(f"{column}_idx", F.coalesce(F.col(f"{column}_idx"), F.lit(0)))
     return df
 
