@@ -40,16 +40,19 @@ def build_samples(
     ])
 
 
-def load_and_build(spark: SparkSession, input_dir: str, mode: str) -> DataFrame:
-    """Joined samples of a split from the stored tables of ``input_dir``."""
-    from recollect.sources.tables import read_typed
+def load_and_build(
+    spark: SparkSession, input_dir: str, mode: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Joined samples of a split from the stored tables of ``input_dir``.
+
+    ``keep`` may name ``row_file`` and ``row_pos``, the place of each row in the sample files.
+    """
+    from recollect.sources.tables import read_typed, with_row_place
 
     sample_name, user_name, item_name = split_tables(mode)
-    wanted = {
-        sample_name: ["label_0", "uid", "iid"],
-        user_name: [*S.USER_COLUMNS, *S.HISTORY_COLUMNS],
-        item_name: S.ITEM_COLUMNS,
-    }
-    return build_samples(*[
-        read_typed(spark, f"{input_dir}/{name}.parquet", columns) for name, columns in wanted.items()
-    ])
+    samples = S.to_readable(with_row_place(spark, f"{input_dir}/{sample_name}.parquet"))
+    users = read_typed(
+        spark, f"{input_dir}/{user_name}.parquet", [*S.USER_COLUMNS, *S.HISTORY_COLUMNS]
+    )
+    items = read_typed(spark, f"{input_dir}/{item_name}.parquet", S.ITEM_COLUMNS)
+    return build_samples(samples, users, items, keep=keep)

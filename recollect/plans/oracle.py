@@ -311,7 +311,7 @@ ORACLE: dict[str, str] = {
             FROM hist LEFT JOIN p90 ON id = item GROUP BY ALL)
         SELECT idx, coalesce(n, 0) AS n FROM (SELECT idx FROM p90 UNION ALL SELECT 0) LEFT JOIN counts USING (idx)"""),
     "mask_rare": _with("customers hist freq_list", """SELECT uid, coalesce(string_agg(
-            (CASE WHEN freq >= 20 THEN item ELSE 0 END)::VARCHAR, ',' ORDER BY i), '') AS hist_items
+            (CASE WHEN freq >= 20 THEN item WHEN freq < 20 THEN 0 END)::VARCHAR, ',' ORDER BY i), '') AS hist_items
         FROM customers LEFT JOIN hist USING (uid)
         LEFT JOIN freq_list ON feature = 'hist_items' AND id = item GROUP BY uid"""),
     "quantise": _with("vec", """SELECT iid, j - 1 AS dim, v[j]::BIGINT AS q

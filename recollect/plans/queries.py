@@ -60,15 +60,17 @@ def key() -> list[Column]:
 @query
 def hard_match_counts(spark, sf):
     """Matches of the target's category per sample in the fitted history: the flagship path."""
+    users = Q.fit_histories(V.users(spark, sf, False), V.MAX_LEN)
     joined = SA.build_samples(
-        V.samples(spark, sf), V.users(spark, sf, False), V.items(spark, sf), keep=tuple(V.KEY)
+        V.samples(spark, sf), users, V.items(spark, sf), keep=tuple(V.KEY)
     )
-    fitted = Q.add_short(Q.fit_histories(joined, V.MAX_LEN), V.SHORT)
-    entries = R.hard_entries(F.col("hist_items"), F.col("hist_cates"), F.col("cate"), V.TOP)
-    recent = F.filter("short_cates", lambda c: c == F.col("cate"))
-    return fitted.select(
+    blank = F.array_repeat(F.lit(0).cast("bigint"), V.MAX_LEN)
+    items, cates = F.coalesce("hist_items", blank), F.coalesce("hist_cates", blank)
+    entries = R.hard_entries(items, cates, F.col("cate"), V.TOP)
+    recent = F.filter(Q.keep_last(cates, V.SHORT), lambda c: c == F.col("cate"))
+    return joined.select(
         *key(), "uid", "iid", "cate",
-        F.size(F.filter(entries, lambda e: e["pos"].isNotNull())).cast("bigint").alias("n_match"),
+        R.match_count(entries).cast("bigint").alias("n_match"),
         F.size(recent).cast("bigint").alias("n_match_recent"),
     )
 

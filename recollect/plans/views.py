@@ -46,7 +46,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
         "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
-    return items.join(orders, "orderkey").withColumn("iid", F.col("partkey") + 1)
+    # Both tables grow with the data: neither is to be broadcast, however small a test set is.
+    return items.join(orders.hint("merge"), "orderkey").withColumn("iid", F.col("partkey") + 1)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +83,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The rank limit runs before the shuffle, so a user of any size sends few rows.
     """
-    order = [
-        "o_orderdate", *KEY, "price", "l_shipdate", "quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    ]
+    # Rows that tie on these keys have the same item, so their order does not show.
+    order = ["o_orderdate", *KEY]
     newest = Window.partitionBy("uid").orderBy(*[F.desc(c) for c in order])
     kept = (
         lines(spark, sf_dir).where(F.col("o_orderdate") < SPLIT_DATE)

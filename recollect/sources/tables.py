@@ -92,5 +92,10 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("iid bigint, vec array<tinyint>").parquet(path)
 
 
+def read_parts(spark: SparkSession, *paths: str) -> DataFrame:
+    """Several part files or folders of one table as one, rows of all of them kept."""
+    return S.to_readable(spark.read.parquet(*paths))
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
