@@ -47,13 +47,13 @@ def running_totals(
     )
     carry = totals.select(
         F.col(_PART).alias("_carry_part"),
-        *[F.col(g).alias(f"_carry_{g}") for g in group],
+        *[F.col(g).alias(f"_carry_key_{i}") for i, g in enumerate(group)],
         *[F.sum(f"_tot_{n}").over(before).alias(f"_before_{n}") for n in sums],
     ).where(F.col(f"_before_{next(iter(sums))}").isNotNull())
 
     same = F.col(_PART) == F.col("_carry_part")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_carry_{g}"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_carry_key_{i}"))
     joined = local.join(F.broadcast(carry), same, "left")
     return joined.select(
         *df.columns,

@@ -223,7 +223,7 @@ def _running(step: str) -> str:
             WINDOW s AS (ORDER BY step ROWS UNBOUNDED PRECEDING))"""
 
 
-_SHARDS = """WITH sharded AS (SELECT *, row_no // 500 AS shard_no, row_no % 500 AS row_in_shard FROM samples),
+_SHARDS = """WITH sharded AS (SELECT *, row_no // 100 AS shard_no, row_no % 100 AS row_in_shard FROM samples),
     shards AS (SELECT shard_no, count(*) AS n_rows FROM sharded GROUP BY shard_no),
     placed AS (SELECT *, row_number() OVER (ORDER BY shard_no) - 1 AS position FROM shards),
     marked AS (SELECT *, position < (SELECT count(*) - count(*) % 8 FROM shards) AS used FROM placed),

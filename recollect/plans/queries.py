@@ -25,7 +25,7 @@ from recollect.plans import views as V
 from recollect.sources import sinks, tables, text
 from recollect.streaming import shards as ST
 
-ROWS_PER_SHARD, WORLD, WORKERS, BATCH = 500, 8, 2, 64
+ROWS_PER_SHARD, FEED_ROWS, WORLD, WORKERS, BATCH = 500, 100, 8, 2, 64
 POOLING = Pooling(tau=0.1, weights=(1.0, 1.0, 1.0), scale=1.0 / VF.QUANT_LEVELS)
 MASK_BELOW = 20
 
@@ -54,6 +54,11 @@ def key() -> list[Column]:
     return [big(k) for k in V.KEY]
 
 
+def stored_users(spark: SparkSession, sf: str) -> DataFrame:
+    """User table as a stored one, for queries that read it more than once."""
+    return stage(V.users(spark, sf), "users")
+
+
 # --- samples and sequences -------------------------------------------------------------------
 
 
@@ -156,13 +161,15 @@ def vocab(spark, sf):
     return VO.build_vocabulary(users, FR.feature_ids(V.items(spark, sf), ["i1", "i2"]))
 
 
-def _shared_vocab(spark, sf):
-    users = FR.feature_ids(V.users(spark, sf), lists=S.HISTORY_COLUMNS)
-    return VO.build_vocabulary(users, FR.feature_ids(V.items(spark, sf), ["iid", "cate"]))
+def _shared_vocab(spark, sf, users=None):
+    users = V.users(spark, sf) if users is None else users
+    ids = FR.feature_ids(users, lists=S.HISTORY_COLUMNS)
+    return VO.build_vocabulary(ids, FR.feature_ids(V.items(spark, sf), ["iid", "cate"]))
 
 
-def _reduced_vocab(spark, sf):
-    freq = FR.id_frequency(V.users(spark, sf), lists=["hist_items"])
+def _reduced_vocab(spark, sf, users=None):
+    users = V.users(spark, sf) if users is None else users
+    freq = stage(FR.id_frequency(users, lists=["hist_items"]), "freq")
     targets = V.samples(spark, sf).select(F.lit("iid").alias("feature"), F.col("iid").alias("id"))
     return VO.reduced_vocabulary(freq, targets.distinct())
 
@@ -180,7 +187,7 @@ def vocab_p90(spark, sf):
 @query
 def remap_ids(spark, sf):
     """Sample ids by vocabularies that know only users with a history."""
-    users = V.users(spark, sf, keep_without_history=False)
+    users = V.users(spark, sf, False)
     known = stage(VO.build_vocabulary(
         FR.feature_ids(users, S.USER_COLUMNS, S.HISTORY_COLUMNS),
         FR.feature_ids(V.items(spark, sf), ["cate", "i1", "i2"]),
@@ -192,21 +199,18 @@ def remap_ids(spark, sf):
     return VO.index_ids(joined, columns, known).select(*key(), *[f"{c}_idx" for c in columns])
 
 
-def _indexed_lists(spark, sf):
-    users = V.users(spark, sf)
-    return VO.index_lists(users, "uid", S.HISTORY_COLUMNS, _list_vocab(spark, sf))
-
-
-def _list_vocab(spark, sf):
+def _list_vocab(spark, sf, users):
     """Reduced item vocabulary with the full category vocabulary."""
-    full = _shared_vocab(spark, sf).where(F.col("vocab") == "hist_cates")
-    return stage(_reduced_vocab(spark, sf).unionByName(full), "vocab")
+    full = _shared_vocab(spark, sf, users).where(F.col("vocab") == "hist_cates")
+    return stage(_reduced_vocab(spark, sf, users).unionByName(full), "vocab")
 
 
 @query
 def remap_hist(spark, sf):
+    users = stored_users(spark, sf)
+    indexed = VO.index_lists(users, "uid", S.HISTORY_COLUMNS, _list_vocab(spark, sf, users))
     pairs = F.arrays_zip("hist_items_idx", "hist_cates_idx")
-    return _indexed_lists(spark, sf).select("uid", F.posexplode(pairs).alias("pos", "e")).select(
+    return indexed.select("uid", F.posexplode(pairs).alias("pos", "e")).select(
         "uid", big("pos"), F.col("e.hist_items_idx").alias("item_idx"),
         F.col("e.hist_cates_idx").alias("cate_idx"),
     )
@@ -214,14 +218,18 @@ def remap_hist(spark, sf):
 
 @query
 def dense_counts(spark, sf):
-    counts = VO.occurrence_counts(_indexed_lists(spark, sf), "hist_items_idx")
-    return VO.dense_counts(counts, _reduced_vocab(spark, sf), "hist_items")
+    users = stored_users(spark, sf)
+    known = stage(_reduced_vocab(spark, sf, users), "vocab")
+    counts = VO.occurrence_counts(
+        VO.index_lists(users, "uid", ["hist_items"], known), "hist_items_idx"
+    )
+    return VO.dense_counts(counts, known, "hist_items")
 
 
 @query
 def mask_rare(spark, sf):
     """History items seen fewer than MASK_BELOW times set to 0."""
-    users = V.users(spark, sf)
+    users = stored_users(spark, sf)
     frequent = FR.id_frequency(users, lists=["hist_items"]).where(F.col("freq") >= MASK_BELOW)
     kept = frequent.select(F.col("feature").alias("vocab"), "id", F.col("id").alias("idx"))
     return VO.index_lists(users, "uid", ["hist_items"], kept).select(
@@ -273,7 +281,7 @@ def embedding_coverage(spark, sf):
 
 def _found(spark, sf, pooled: bool = False) -> DataFrame:
     return R.search(
-        V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid"), V.users(spark, sf), "content",
+        V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid"), stored_users(spark, sf), "content",
         V.TOP, embeddings=V.quantised(spark, sf), max_len=V.MAX_LEN, recent=V.SHORT,
         pooling=POOLING if pooled else None, width=V.WIDTH,
     )
@@ -297,7 +305,7 @@ def search_content(spark, sf):
 def search_soft(spark, sf):
     samples = V.samples(spark, sf).join(V.items(spark, sf).select("iid", "cate"), "iid")
     return _entries(R.search(
-        samples.select(*V.FULL_KEY, "uid", "iid", "cate"), V.users(spark, sf), "soft", V.TOP,
+        samples.select(*V.FULL_KEY, "uid", "iid", "cate"), stored_users(spark, sf), "soft", V.TOP,
         item_vectors=V.quantised(spark, sf), cate_vectors=V.category_vectors(spark, sf),
         item_width=V.WIDTH, cate_width=V.WIDTH, max_len=V.MAX_LEN, recent=V.SHORT,
     ))
@@ -370,7 +378,7 @@ def attention_pool_plain(spark, sf):
 
 def _features(spark, sf, method: str) -> DataFrame:
     return FE.feature_table(
-        V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid", "label"), V.users(spark, sf),
+        V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid", "label"), stored_users(spark, sf),
         V.items(spark, sf), V.quantised(spark, sf), method, V.TOP, V.MAX_LEN, V.SHORT, POOLING,
         V.WIDTH,
     )
@@ -467,7 +475,7 @@ def running_metrics(spark, sf):
 
 def _sharded(spark, sf) -> DataFrame:
     rows = V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid", "label")
-    return FD.shard_numbers(rows, V.FULL_KEY, ROWS_PER_SHARD)
+    return FD.shard_numbers(rows, V.FULL_KEY, FEED_ROWS)
 
 
 @query
@@ -489,7 +497,7 @@ def feed_losses(spark, sf):
 def batches(spark, sf):
     rows = _sharded(spark, sf)
     plan = FD.plan_readers(FD.shard_sizes(rows), WORLD, WORKERS)
-    placed = rows.withColumn("row_in_shard", F.col("row_no") - F.col("shard_no") * ROWS_PER_SHARD)
+    placed = rows.withColumn("row_in_shard", F.col("row_no") - F.col("shard_no") * FEED_ROWS)
     return FD.batches_in_order(placed, plan, BATCH).select(
         *key(), "shard_no", big("rank"), big("worker"), "batch_id", "place"
     )
@@ -583,8 +591,9 @@ def freq_roundtrip(spark, sf):
 @query
 def vocab_roundtrip(spark, sf):
     path = new_path(spark, "vocab")
-    sinks.write_vocabulary(_shared_vocab(spark, sf), path)
-    sinks.write_vocabulary(_reduced_vocab(spark, sf), path, "reduced")
+    users = stored_users(spark, sf)
+    sinks.write_vocabulary(_shared_vocab(spark, sf, users), path)
+    sinks.write_vocabulary(_reduced_vocab(spark, sf, users), path, "reduced")
     return tables.read_vocabulary(spark, path, reduced=True)
 
 
