@@ -160,13 +160,25 @@ def shuffled_batches(
     and does not depend on how Spark splits the work. Readers may be of any size, as the order
     is cut over many tasks.
     """
-    assigned = assign_readers(rows, plan, shard)
-    readers = _with_reader_rows(plan.where("used")).select("rank", "worker", "reader_rows").distinct()
+    assigned = assign_readers(rows, plan, shard).drop("turn")
     keyed = assigned.withColumn("_shuffle_key", F.xxhash64("seed", *row_key))
     placed = with_index(
-        keyed, ["_shuffle_key", *row_key], ["rank", "worker"], name="place", start=0
-    ).join(readers, ["rank", "worker"])
-    return _cut(placed, F.col("place"), batch_size, drop_last).drop("_shuffle_key", "turn", "seed")
+        keyed, ["rank", "worker", "_shuffle_key", *row_key], name="_place", start=0
+    ).join(_reader_offsets(plan), ["rank", "worker"])
+    out = _cut(placed, F.col("_place") - F.col("rows_before"), batch_size, drop_last)
+    return out.drop("_place", "_shuffle_key", "seed")
+
+
+def _reader_offsets(plan: DataFrame) -> DataFrame:
+    """One row per reader: its rows and those of the readers before it."""
+    earlier = (
+        Window.partitionBy(F.lit(0)).orderBy("rank", "worker")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return plan.where("used").groupBy("rank", "worker").agg(F.sum("n_rows").alias("reader_rows")).select(
+        "rank", "worker", "reader_rows",
+        F.coalesce(F.sum("reader_rows").over(earlier), F.lit(0)).alias("rows_before"),
+    )
 
 
 def rebalance(

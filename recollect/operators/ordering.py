@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from recollect.operators.staging import stage
 
 _PART = "_range_part"
+# Fixed value: bits that monotonically_increasing_id leaves for the row within a partition.
+_PLACE_BITS = 33
 
 
 def running_totals(
@@ -67,6 +69,24 @@ def running_totals(
 def with_index(
     df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "idx", start: int = 1
 ) -> DataFrame:
-    """Add the dense position of each row in the global order, per group if given."""
-    numbered = running_totals(df, order, {name: F.lit(1).cast("bigint")}, group)
-    return numbered if start == 1 else numbered.withColumn(name, F.col(name) + (start - 1))
+    """Add the dense position of each row in the global order, per group if given.
+
+    Without groups the rows, however wide, are shuffled once: each task numbers its own sorted
+    range while writing it down, and the sizes of the earlier ranges, one row per partition,
+    are added on reading.
+    """
+    if group:
+        numbered = running_totals(df, order, {name: F.lit(1).cast("bigint")}, group)
+        return numbered if start == 1 else numbered.withColumn(name, F.col(name) + (start - 1))
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stage(ranges.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    # The id holds the partition number above the row's place in it.
+    parts = parts.withColumn(_PART, F.shiftright("_place", _PLACE_BITS))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n")).select(
+        _PART, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return parts.join(F.broadcast(offsets), _PART).select(
+        *df.columns, (place + F.col("_before") + start).cast("bigint").alias(name)
+    )
