@@ -41,30 +41,34 @@ def lookup_vector(
     return found.withColumn(output, F.coalesce(F.col(output), zero))
 
 
-def unfold_history(users: DataFrame) -> DataFrame:
-    """(uid, pos, item, cate) per history entry; padding is left out before any shuffle."""
+def unfold_history(users: DataFrame, by: Sequence[str] = ("uid",)) -> DataFrame:
+    """(*by, pos, item, cate) per history entry; padding is left out before any shuffle."""
     entries = F.arrays_zip(
         F.col("hist_items").alias("item"), F.col("hist_cates").alias("cate")
     )
     return (
-        users.select("uid", F.posexplode(entries).alias("pos", "entry"))
-        .select("uid", "pos", "entry.item", "entry.cate")
+        users.select(*by, F.posexplode(entries).alias("pos", "entry"))
+        .select(*by, "pos", "entry.item", "entry.cate")
         .where((F.col("item") != 0) | (F.col("cate") != 0))
     )
 
 
 def history_vectors(
-    users: DataFrame, embeddings: DataFrame, hot_rows: int = HOT_ROWS
+    users: DataFrame,
+    embeddings: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    by: Sequence[str] = ("uid",),
 ) -> DataFrame:
-    """(uid, hit_pos, hit_vec): per user, the history positions that have a vector.
+    """(*by, hit_pos, hit_vec): per user, the history positions that have a vector.
 
     Each history is looked up once per user however many samples the user has. Positions
-    without a vector are absent instead of being carried as zero vectors.
+    without a vector are absent instead of being carried as zero vectors. ``by`` identifies a
+    row of ``users`` and is what the result stays partitioned by.
     """
-    entries = unfold_history(users).where(F.col("item") != 0).select("uid", "pos", "item")
+    entries = unfold_history(users, by).where(F.col("item") != 0).select(*by, "pos", "item")
     table = embeddings.where(F.col("iid") != 0).select(F.col("iid").alias("item"), "vec")
     hits = lookup_join(entries, table, "item", "inner", hot_rows=hot_rows)
-    return _fold_hits(hits)
+    return _fold_hits(hits, by)
 
 
 def history_pair_vectors(
@@ -74,12 +78,13 @@ def history_pair_vectors(
     item_width: int,
     cate_width: int,
     hot_rows: int = HOT_ROWS,
+    by: Sequence[str] = ("uid",),
 ) -> DataFrame:
     """Like :func:`history_vectors` with the item and category vectors joined end to end."""
-    entries = unfold_history(users)
+    entries = unfold_history(users, by)
     both = pair_vector(entries, item_vectors, cate_vectors, item_width, cate_width, "item", "cate",
                        hot_rows)
-    return _fold_hits(both.where(F.col("vec").isNotNull()).select("uid", "pos", "vec"))
+    return _fold_hits(both.where(F.col("vec").isNotNull()).select(*by, "pos", "vec"), by)
 
 
 def pair_vector(
@@ -111,12 +116,12 @@ def pair_vector(
     return out.withColumn("vec", F.when(known, joined)).drop("_item_vec", "_cate_vec")
 
 
-def _fold_hits(hits: DataFrame) -> DataFrame:
+def _fold_hits(hits: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per user; its length is bounded by the fitted history length."""
-    return hits.groupBy("uid").agg(
+    return hits.groupBy(*by).agg(
         F.collect_list(F.struct("pos", "vec")).alias("_hits")
     ).select(
-        "uid",
+        *by,
         F.col("_hits.pos").alias("hit_pos"),
         F.col("_hits.vec").alias("hit_vec"),
     )

@@ -42,7 +42,9 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     )
 
 
-def salt_many(df: DataFrame, on: Sequence[str], hot: DataFrame, spread: Sequence[str]) -> DataFrame:
+def salt_many(
+    df: DataFrame, on: Sequence[str], hot: DataFrame, spread: Sequence[str], name: str = _SALT
+) -> DataFrame:
     """Give rows of a hot key one of its piece numbers, taken from a hash of ``spread``.
 
     A hash, unlike a random draw, gives the same piece when a lost task is run again.
@@ -50,16 +52,18 @@ def salt_many(df: DataFrame, on: Sequence[str], hot: DataFrame, spread: Sequence
     piece = F.pmod(F.xxhash64(*spread), F.col(_PARTS)).cast("int")
     return (
         df.join(F.broadcast(hot), list(on), "left")
-        .withColumn(_SALT, F.coalesce(piece, F.lit(0))).drop(_PARTS)
+        .withColumn(name, F.coalesce(piece, F.lit(0))).drop(_PARTS)
     )
 
 
-def salt_one(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+def salt_one(
+    df: DataFrame, on: Sequence[str], hot: DataFrame, name: str = _SALT
+) -> DataFrame:
     """Repeat rows of a hot key once for each of its pieces."""
     pieces = F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)
     return (
         df.join(F.broadcast(hot), list(on), "left")
-        .withColumn(_SALT, F.explode(pieces)).drop(_PARTS)
+        .withColumn(name, F.explode(pieces)).drop(_PARTS)
     )
 
 
