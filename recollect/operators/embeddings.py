@@ -65,7 +65,9 @@ def history_vectors(
     without a vector are absent instead of being carried as zero vectors. ``by`` identifies a
     row of ``users`` and is what the result stays partitioned by.
     """
-    entries = unfold_history(users, by).where(F.col("item") != 0).select(*by, "pos", "item")
+    entries = users.select(*by, F.posexplode("hist_items").alias("pos", "item")).where(
+        F.col("item") != 0
+    )
     table = embeddings.where(F.col("iid") != 0).select(F.col("iid").alias("item"), "vec")
     hits = lookup_join(entries, table, "item", "inner", hot_rows=hot_rows)
     return _fold_hits(hits, by)
