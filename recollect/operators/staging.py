@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders not freed yet, oldest first.
+_live: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, else one below the session's warehouse.
 
-    Only a local session may fall back to a temporary folder; on a cluster executors would
-    not see one another's files there.
+    The warehouse default is a folder of the driver's machine, so a session on a cluster has to
+    name either setting itself.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and folder.startswith(("file:", "/")):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="recollect-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder}/_staged"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Unused path below the shared folder, removed when the driver ends."""
+    """Unused path below the shared folder, freed by ``scope``, ``release`` or the driver's end."""
     path = f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _live.append((spark, path))
     return path
 
 
@@ -45,3 +48,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(mark: int = 0) -> None:
+    """Delete staged tables, all of them or those after the first ``mark``.
+
+    Frames that read them can't be evaluated afterwards.
+    """
+    while len(_live) > mark:
+        _remove(*_live.pop())
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Free what is staged inside the block when it ends.
+
+    The block gets a function that stages like ``stage``, but for good: its table outlives the
+    block.
+    """
+    mark, kept = len(_live), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_live.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        release(mark)
+        _live.extend(kept)
+
+
+atexit.register(release)
