@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recollect.llm import byte_bpe, jaccard_join, language_id, source_mix
+from recollect.llm import (
+    byte_bpe, embedding_dedup, jaccard_join, kdtree_shards, language_id, page_text, source_mix, topk_search, url_filter,
+)
 from recollect.llm.common import read_table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+# Fixed values of the contract.
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op1_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; eight shards of near-equal bytes."""
+    return kdtree_shards.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +32,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    found = embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every vector whose id is divisible by 50."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id % 50 = 0")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of linked documents, three words and 90 %."""
     return jaccard_join.near_copies(read_table(spark, sf_dir, "documents"))
@@ -29,6 +58,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     return source_mix.mixture(read_table(spark, sf_dir, "documents"))
@@ -38,4 +72,19 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
 
-LLM_ORACLE: dict[str, str] = {}
+# Exact in both engines: the searches by definition.
+LLM_ORACLE: dict[str, str] = {
+    "op6_topk_search": """
+        WITH points AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+                   CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+            FROM points q JOIN points d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5""",
+}
