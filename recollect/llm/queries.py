@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import (
-    byte_bpe, embedding_dedup, jaccard_join, kdtree_shards, language_id, page_text, source_mix, topk_search, url_filter,
+    byte_bpe, embedding_dedup, jaccard_join, kdtree_shards, language_id, license_scan, page_text, source_mix, topk_search,
+    url_filter,
 )
 from recollect.llm.common import read_table
 
@@ -37,6 +38,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of its directory."""
+    return license_scan.document_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.95."""
     found = embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
