@@ -16,11 +16,11 @@ _VIEWS = {
         FROM li WHERE o_orderdate >= TIMESTAMP '2000-01-01'""",
     "items": """SELECT p_partkey + 1 AS iid, dense_rank() OVER (ORDER BY p_type) AS cate,
         regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS i1, p_size::BIGINT AS i2 FROM part""",
-    "hist": """SELECT uid, iid AS item, cate,
+    "hist": """SELECT uid, iid AS item, coalesce(cate, 0) AS cate,
         row_number() OVER (PARTITION BY uid ORDER BY o_orderdate, orderkey, linenumber, partkey,
             suppkey, price, l_shipdate, quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS i,
         count(*) OVER (PARTITION BY uid) AS n
-        FROM li JOIN items USING (iid) WHERE o_orderdate < TIMESTAMP '2000-01-01'""",
+        FROM li LEFT JOIN items USING (iid) WHERE o_orderdate < TIMESTAMP '2000-01-01'""",
     "customers": """SELECT c_custkey + 1 AS uid, c_nationkey::BIGINT + 1 AS u1,
         dense_rank() OVER (ORDER BY c_mktsegment) AS u2, (c_nationkey::BIGINT + 1) % 7 AS u3,
         dense_rank() OVER (ORDER BY c_mktsegment) % 3 AS u4,
@@ -240,7 +240,7 @@ ORACLE: dict[str, str] = {
     "hard_match_counts": _with("samples items padded", f"""SELECT {_KEY}, s.uid, s.iid, i.cate,
             least(count(*) FILTER (WHERE p.cate = i.cate), 10)::BIGINT AS n_match,
             count(*) FILTER (WHERE p.cate = i.cate AND p.pos >= 30) AS n_match_recent
-        FROM samples s JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
+        FROM samples s LEFT JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
         GROUP BY row_no, {_KEY}, s.uid, s.iid, i.cate"""),
     "sample_join": _with("samples items customers lists", f"""SELECT {_KEY}, label, s.uid,
             CASE WHEN l.uid IS NULL THEN 0 ELSE u1 END AS u1, CASE WHEN l.uid IS NULL THEN 0 ELSE u2 END AS u2,
@@ -298,7 +298,7 @@ ORACLE: dict[str, str] = {
             coalesce(b3.x, 0) AS u3_idx, coalesce(b4.x, 0) AS u4_idx, coalesce(b5.x, 0) AS u5_idx,
             coalesce(c.x, 0) AS iid_idx, coalesce(d.x, 0) AS cate_idx, coalesce(e.x, 0) AS i1_idx,
             coalesce(f.x, 0) AS i2_idx
-        FROM samples s JOIN items i USING (iid) LEFT JOIN known k ON k.uid = s.uid
+        FROM samples s LEFT JOIN items i USING (iid) LEFT JOIN known k ON k.uid = s.uid
         LEFT JOIN idx a ON a.v = 'uid' AND a.id = s.uid LEFT JOIN idx b1 ON b1.v = 'u1' AND b1.id = k.u1
         LEFT JOIN idx b2 ON b2.v = 'u2' AND b2.id = k.u2 LEFT JOIN idx b3 ON b3.v = 'u3' AND b3.id = k.u3
         LEFT JOIN idx b4 ON b4.v = 'u4' AND b4.id = k.u4 LEFT JOIN idx b5 ON b5.v = 'u5' AND b5.id = k.u5
@@ -330,12 +330,16 @@ ORACLE: dict[str, str] = {
             round(count(*) FILTER (WHERE has) / (count(*) FILTER (WHERE id <> 0))::DOUBLE, 6) AS rate_without_padding
         FROM marked GROUP BY part"""),
     "search_content": _with("found", _entries("found")),
-    "search_soft": _with("samples items padded vec", f"""WITH cvec AS (SELECT iid AS cate, v FROM vec WHERE iid <= 6),
+    "search_soft": _with("samples items padded vec", f"""WITH parts AS (SELECT cate, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vec JOIN items USING (iid)),
+        sums AS (SELECT cate, d, sum(x) AS s FROM parts GROUP BY ALL),
+        tops AS (SELECT cate, max(abs(s)) AS m FROM sums GROUP BY cate),
+        cvec AS (SELECT cate, list(CASE WHEN m = 0 THEN 0.0 ELSE trunc(s * CAST(127 AS DOUBLE) / m) END ORDER BY d) AS v
+            FROM sums JOIN tops USING (cate) GROUP BY cate),
         soft_pairs AS (SELECT s.*, p.pos, p.item, p.cate,
             coalesce(list_dot_product(ti.v, ki.v), 0) + coalesce(list_dot_product(tc.v, kc.v), 0) AS dot,
             coalesce(list_dot_product(ti.v, ti.v), 0) + coalesce(list_dot_product(tc.v, tc.v), 0) AS nq,
             coalesce(list_dot_product(ki.v, ki.v), 0) + coalesce(list_dot_product(kc.v, kc.v), 0) AS nk
-            FROM samples s JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
+            FROM samples s LEFT JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
             LEFT JOIN vec ti ON ti.iid = s.iid LEFT JOIN cvec tc ON tc.cate = i.cate
             LEFT JOIN vec ki ON ki.iid = p.item LEFT JOIN cvec kc ON kc.cate = p.cate),
         soft_cos AS (SELECT *, CASE WHEN dot = 0 THEN 0 ELSE dot / sqrt(nq * nk) END AS cos FROM soft_pairs),
@@ -344,7 +348,7 @@ ORACLE: dict[str, str] = {
         {_entries("soft_found")} WHERE rank <= 10"""),
     "search_hard": _with("samples items padded", f"""WITH matches AS (SELECT s.row_no, p.item, p.cate,
             row_number() OVER (PARTITION BY s.row_no ORDER BY p.pos DESC) AS rank
-            FROM samples s JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid AND p.cate = i.cate),
+            FROM samples s LEFT JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid AND p.cate = i.cate),
         kept AS (SELECT * FROM matches WHERE rank <= 10),
         sizes AS (SELECT row_no, count(*) AS n FROM kept GROUP BY row_no)
         SELECT {_KEY}, coalesce(z.n, 0) AS n_match, g.rank, coalesce(k.item, 0) AS item, coalesce(k.cate, 0) AS cate

@@ -303,7 +303,7 @@ def search_content(spark, sf):
 
 @query
 def search_soft(spark, sf):
-    samples = V.samples(spark, sf).join(V.items(spark, sf).select("iid", "cate"), "iid")
+    samples = V.samples_with_category(spark, sf)
     return _entries(R.search(
         samples.select(*V.FULL_KEY, "uid", "iid", "cate"), stored_users(spark, sf), "soft", V.TOP,
         item_vectors=V.quantised(spark, sf), cate_vectors=V.category_vectors(spark, sf),
@@ -313,7 +313,7 @@ def search_soft(spark, sf):
 
 @query
 def search_hard(spark, sf):
-    samples = V.samples(spark, sf).join(V.items(spark, sf).select("iid", "cate"), "iid")
+    samples = V.samples_with_category(spark, sf)
     found = R.search(
         samples.select(*V.FULL_KEY, "uid", "iid", "cate"), V.users(spark, sf), "hard", V.TOP,
         max_len=V.MAX_LEN,

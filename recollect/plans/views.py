@@ -6,7 +6,7 @@ Orders before the split date are history, later ones samples. Ids are shifted by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect import schema as S
@@ -79,19 +79,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uid, age, item, cate): the newest entries of each user, age 1 being the newest.
-
-    The rank limit runs before the shuffle, so a user of any size sends few rows.
-    """
+    """Every entry of each user: uid, the columns that order it, item, cate (0 for an unknown item)."""
     # Rows that tie on these keys have the same item, so their order does not show.
-    order = ["o_orderdate", *KEY]
-    newest = Window.partitionBy("uid").orderBy(*[F.desc(c) for c in order])
-    kept = (
-        lines(spark, sf_dir).where(F.col("o_orderdate") < SPLIT_DATE)
-        .withColumn("age", F.row_number().over(newest)).where(F.col("age") <= S.MAX_SEQ_LEN)
-    )
+    kept = lines(spark, sf_dir).where(F.col("o_orderdate") < SPLIT_DATE)
     categories = items(spark, sf_dir).select("iid", "cate")
-    return kept.join(categories, "iid").select("uid", "age", F.col("iid").alias("item"), "cate")
+    return kept.join(categories, "iid", "left").select(
+        "uid", "o_orderdate", *KEY, F.col("iid").alias("item"), F.coalesce("cate", F.lit(0)).alias("cate")
+    )
 
 
 def users(spark: SparkSession, sf_dir: str, keep_without_history: bool = True) -> DataFrame:
@@ -105,9 +99,9 @@ def users(spark: SparkSession, sf_dir: str, keep_without_history: bool = True) -
         (nation % 7).alias("u3"), (segment % 3).alias("u4"),
         F.floor(F.col("c_acctbal") / 1000).cast("bigint").alias("u5"),
     )
-    # Groups hold at most MAX_SEQ_LEN entries; see history().
+    # A list is what a user's row holds, whole; readers cut it.
     folded = history(spark, sf_dir).groupBy("uid").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("turn"), "item", "cate"))).alias("h")
+        F.array_sort(F.collect_list(F.struct("o_orderdate", *KEY, "item", "cate"))).alias("h")
     ).select("uid", F.col("h.item").alias("hist_items"), F.col("h.cate").alias("hist_cates"))
     if not keep_without_history:
         return attributes.join(folded, "uid")
@@ -128,5 +122,20 @@ def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the categories, taken from the rows of the vector table with the same number."""
-    return quantised(spark, sf_dir).where(F.col("iid") <= 6).withColumnRenamed("iid", "cate")
+    """Vectors of the categories: the sum over all their items, scaled to int8 again."""
+    parts = quantised(spark, sf_dir).join(items(spark, sf_dir).select("iid", "cate"), "iid").select(
+        "cate", F.posexplode("vec").alias("d", "x")
+    )
+    sums = parts.groupBy("cate", "d").agg(F.sum(F.col("x").cast("bigint")).alias("s"))
+    folded = sums.groupBy("cate").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda e: e["s"]).alias("sums")
+    )
+    top = F.array_max(F.transform("sums", F.abs))
+    scaled = F.transform("sums", lambda x: F.when(top == 0, F.lit(0)).otherwise((x * 127.0 / top).cast("tinyint")))
+    return folded.select("cate", scaled.cast("array<tinyint>").alias("vec"))
+
+
+def samples_with_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with the category of their item, 0 for an unknown item."""
+    known = items(spark, sf_dir).select("iid", "cate")
+    return samples(spark, sf_dir).join(known, "iid", "left").withColumn("cate", F.coalesce("cate", F.lit(0)))

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import pytest
 
 import __spark_entry__ as entry
@@ -42,9 +44,19 @@ def test_scans_read_only_needed_columns(spark):
     assert "LessThan(o_orderdate" in plan
 
 
-def test_rank_limits_run_before_the_shuffle(spark):
-    plan = V.history(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_histories_are_whole(spark, tmp_path):
+    """A user with more entries than readers keep has them all in list, frequency and vocabulary."""
+    for name in ("customer", "lineitem", "orders", "part", "embeddings"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "orders":
+            rows = rows.withColumn("o_custkey", F.lit(1).cast("bigint"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    entries = V.history(spark, str(tmp_path)).count()
+    assert entries > 1000
+    lists = V.users(spark, str(tmp_path)).where("uid = 2").select(F.size("hist_items")).first()[0]
+    assert lists == entries
+    counted = QUERIES["id_freq_list"](spark, str(tmp_path)).where("feature = 'hist_items'")
+    assert counted.agg(F.sum("freq")).first()[0] == entries
 
 
 def test_content_search_shuffles_each_side_once(spark, no_broadcast):
