@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.operators.ordering import with_index
+from recollect.operators.staging import stage
 
 # Factors with which epoch, reader group and reader enter the seed.
 EPOCH_FACTOR = 100
@@ -97,7 +98,8 @@ def unread_rows(plan: DataFrame) -> DataFrame:
 def assign_readers(rows: DataFrame, plan: DataFrame, shard: str = "shard_no") -> DataFrame:
     """Rows of the used shards with their reader and the shard's turn."""
     wanted = plan.where("used").select(shard, "rank", "worker", "seed", "turn")
-    return rows.join(wanted, shard)
+    # Stored, the plan has its true size, one row per shard, and Spark may broadcast it.
+    return rows.join(stage(wanted, "readers"), shard)
 
 
 def plan_offsets(plan: DataFrame) -> DataFrame:
@@ -122,12 +124,13 @@ def batches_in_order(
     """Batches of rows read in shard order, numbered within each reader.
 
     The place of a row follows from its shard's offset and its position in the shard, so rows
-    are neither sorted nor shuffled: only the shard list is.
+    are not sorted; they are shuffled only where the shard list is too large to broadcast.
     """
     offsets = _with_reader_rows(plan_offsets(plan)).select(
         shard, "rank", "worker", "rows_before", "reader_rows"
     )
-    placed = rows.join(offsets, shard)
+    # Stored, the plan has its true size, one row per shard, and Spark may broadcast it.
+    placed = rows.join(stage(offsets, "offsets"), shard)
     return _cut(placed, F.col("rows_before") + F.col(position), batch_size, drop_last)
 
 

@@ -210,12 +210,10 @@ def step_metrics(scores: DataFrame, step: str = "batch_id") -> DataFrame:
 def running_curves(buckets: DataFrame, step: str = "batch_id") -> DataFrame:
     """(step, auroc): area under the curve of the counts accumulated up to each step."""
     counts = confusion_from_buckets(buckets, [step])
-    so_far = (
-        Window.partitionBy("threshold_no").orderBy(step)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = counts.select(
-        step, "threshold_no", *[F.sum(c).over(so_far).alias(c) for c in ("tp", "fp", "tn", "fn")]
+    names = ("tp", "fp", "tn", "fn")
+    # Steps grow with the data: each threshold's running sum is cut over many tasks.
+    totals = running_totals(counts, [step], {f"sum_{c}": F.col(c) for c in names}, ["threshold_no"]).select(
+        step, "threshold_no", *[F.col(f"sum_{c}").alias(c) for c in names]
     )
     return area_under_curve(totals, [step]).withColumnRenamed(step, "step")
 

@@ -397,6 +397,10 @@ ORACLE: dict[str, str] = {
     "ingest_faulty": _LINES + """ SELECT iid, CASE WHEN s % 3 = 0 THEN 0 ELSE s END::BIGINT AS cate,
             CASE WHEN short THEN 0 ELSE brand END AS i1, CASE WHEN short THEN 0 ELSE s END::BIGINT AS i2
         FROM flags WHERE NOT blank AND NOT bad""",
+    "ingest_rejected": """SELECT concat_ws(chr(9), CAST(p_partkey + 1 AS VARCHAR),
+            CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END, p_brand, CAST(p_size AS VARCHAR)) AS value,
+            'bad field i1' AS reason
+        FROM part WHERE p_size % 2 <> 0 AND p_size % 5 <> 0 AND p_size <> 7""",
     "ingest_counts": _LINES + """ SELECT count(*) AS lines_read, count(*) FILTER (WHERE blank) AS lines_blank,
             count(*) FILTER (WHERE NOT blank) AS lines_not_blank,
             count(*) FILTER (WHERE NOT blank AND short) AS lines_short,

@@ -523,9 +523,10 @@ def rebalance(spark, sf):
 
 @query
 def ingest_text(spark, sf):
-    """User rows written as text lines and read back."""
-    lines = text.format_lines(V.users(spark, sf), S.LAYOUTS["users"])
-    return text.parse_lines(lines, S.LAYOUTS["users"]).good.select(
+    """User rows written as a text file and read back."""
+    path = new_path(spark, "raw")
+    text.format_lines(V.users(spark, sf), S.LAYOUTS["users"]).write.text(path)
+    return text.read_text(spark, path, S.LAYOUTS["users"]).good.select(
         *S.USER_COLUMNS, id_text("hist_items"), id_text("hist_cates")
     )
 
@@ -548,6 +549,14 @@ def ingest_faulty(spark, sf):
     return text.parse_lines(_faulty_lines(spark, sf), S.LAYOUTS["items"]).good
 
 
+@query
+def ingest_rejected(spark, sf):
+    """Lines with a field that does not convert, read from a file, with the reason."""
+    path = new_path(spark, "raw")
+    _faulty_lines(spark, sf).write.text(path)
+    return text.read_text(spark, path, S.LAYOUTS["items"]).rejected.select("value", "reason")
+
+
 @query
 def ingest_counts(spark, sf):
     return text.parse_lines(_faulty_lines(spark, sf), S.LAYOUTS["items"], fill_missing=False).counts
