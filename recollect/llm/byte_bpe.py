@@ -10,15 +10,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters of text whose words are merged together.
-CORPUS_CHARS = 8_000_000
-# Encoded words that a Python worker remembers.
-MEMORY_WORDS = 800_000
+# Bytes of text whose words are merged together, and encoded words that a Python worker remembers.
+CORPUS_BYTES = 6 << 20
+MEMORY_WORDS = 700_000
 _PAIR = 1 << 32
 # A single space between two other characters. No match of a usual pre-split pattern crosses it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
@@ -90,12 +90,12 @@ class Merges:
         begins = np.flatnonzero(pair >= 0)
         begins = begins[np.argsort(pair[begins], kind="stable")]
         queue, cuts = np.unique(pair[begins], return_index=True)
-        places = dict(zip(queue.tolist(), (x.tolist() for x in np.split(begins, cuts[1:]))))
+        places = {rank: [x] for rank, x in zip(queue.tolist(), np.split(begins, cuts[1:]))}
         queue = queue.tolist()
         while queue:
             now = heapq.heappop(queue)
-            at = np.unique(np.array(places.pop(now), dtype=np.int64))
-            at = at[pair[at] == now]
+            at = np.concatenate(places.pop(now))
+            at = np.unique(at[pair[at] == now])
             if not len(at):
                 continue
             # In a run of overlapping pairs every second one merges, from the left.
@@ -113,9 +113,7 @@ class Merges:
                 kept = np.concatenate([[True], word_of[at[1:]] != word_of[at[:-1]]])
                 rest = at[~kept]
                 at, right, left = at[kept], right[kept], left[kept]
-                again = rest.tolist()
-            else:
-                again = []
+                self._add(places, queue, np.full(len(rest), now), rest)
             gone = after[at]
             token[at], token[gone] = now, -1
             pair[gone] = -1
@@ -126,12 +124,8 @@ class Merges:
             pair[at] = made_right
             has_left = left >= 0
             pair[left[has_left]] = made_left[has_left]
-            for ranks, where in ((made_right, at), (made_left, left)):
-                new = ranks >= 0
-                for rank, place in zip(ranks[new].tolist(), where[new].tolist()):
-                    self._add(places, queue, rank, place)
-            for place in again:
-                self._add(places, queue, now, place)
+            made, where = np.concatenate([made_right, made_left]), np.concatenate([at, left])
+            self._add(places, queue, made[made >= 0], where[made >= 0])
         whole = token >= 0
         packed = token[whole].astype("<u4").tobytes()
         stops = 4 * np.cumsum(np.add.reduceat(whole[:-1].astype(np.int64), starts))
@@ -149,60 +143,69 @@ class Merges:
         return made[0], made[1]
 
     @staticmethod
-    def _add(places: dict[int, list[int]], queue: list[int], rank: int, place: int) -> None:
-        known = places.get(rank)
-        if known is None:
-            places[rank] = [place]
-            heapq.heappush(queue, rank)
-        else:
-            known.append(place)
+    def _add(places: dict[int, list[np.ndarray]], queue: list[int], ranks: np.ndarray, where: np.ndarray) -> None:
+        """Enter positions in the index under the ranks of their pairs."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, where = ranks[order], where[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, part in zip(ranks[[0, *cuts]].tolist(), np.split(where, cuts) if len(cuts) else [where]):
+            if rank in places:
+                places[rank].append(part)
+            else:
+                places[rank] = [part]
+                heapq.heappush(queue, rank)
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encode the words of unknown chunks of text, all as one corpus."""
-        split, merged, words, ranks = {}, {}, self.words, self.ranks
+        """Encode unknown chunks of text, each with the space before it, all as one corpus."""
+        spaced, words, ranks = self.spaced, self.words, self.ranks
+        # A chunk of letters is one word; others are split. Words with a space are kept as chunks.
+        fresh: dict[tuple[bool, str], bytes] = {}
+        split = {}
+
+        def word(has_space: bool, text: str) -> None:
+            whole = ranks.get(raw := (f" {text}" if has_space else text).encode())
+            if whole is None:
+                fresh[has_space, text] = raw
+            else:
+                (spaced if has_space else words)[text] = whole.to_bytes(4, "little")
+
         for chunk in chunks:
-            split[chunk] = found = [f" {chunk}"] if chunk.isalpha() else self.words_of(f" {chunk}")
-            for word in found:
-                if word not in words and word not in merged:
-                    whole = ranks.get(raw := word.encode())
-                    if whole is None:
-                        merged[word] = raw
-                    else:
-                        words[word] = whole.to_bytes(4, "little")
-        words.update(zip(merged, self.replay(list(merged.values()))))
+            if chunk.isalpha():
+                word(True, chunk)
+            else:
+                split[chunk] = [(w[0] == " ", w[1:] if w[0] == " " else w) for w in self.words_of(f" {chunk}")]
+        for found in split.values():
+            for key in found:
+                if key not in fresh and key[1] not in (spaced if key[0] else words):
+                    word(*key)
+        for (has_space, text), ids in zip(fresh, self.replay(list(fresh.values()))):
+            (spaced if has_space else words)[text] = ids
         for chunk, found in split.items():
-            self.spaced[chunk] = words[found[0]] if len(found) == 1 else b"".join([words[x] for x in found])
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Packed ids of each text; words are merged once for about CORPUS_CHARS of text."""
-        start = 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars < CORPUS_CHARS):
-                chars += len(texts[stop] or "")
-                stop += 1
-            split = [_GAP.split(text or "") for text in texts[start:stop]]
-            if len(self.spaced) + len(self.words) > MEMORY_WORDS:
-                self.spaced.clear()
-                self.words.clear()
-            fresh = set()
-            for chunks in split:
-                fresh.update(chunks[1:])
-            self._learn(fresh.difference(self.spaced))
-            head_ids = self._heads({chunks[0] for chunks in split})
-            for chunks in split:
-                yield head_ids[chunks[0]] + b"".join(map(self.spaced.__getitem__, chunks[1:]))
-            start = stop
-
-    def _heads(self, heads: set[str]) -> dict[str, bytes]:
-        """Packed ids of the first chunks of texts, which no space precedes."""
-        split = {head: self.words_of(head) for head in heads}
-        words = list({word for found in split.values() for word in found})
-        raw = [word.encode() for word in words]
-        whole = {word: self.ranks[r].to_bytes(4, "little") for word, r in zip(words, raw) if r in self.ranks}
-        rest = [(word, r) for word, r in zip(words, raw) if word not in whole]
-        whole.update(zip([word for word, _ in rest], self.replay([r for _, r in rest])))
-        return {head: b"".join(map(whole.__getitem__, found)) for head, found in split.items()}
+            spaced[chunk] = b"".join([(spaced if has_space else words)[text] for has_space, text in found])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; the words of all texts are merged together."""
+        split = [_GAP.split(text or "") for text in texts]
+        if len(self.spaced) + len(self.words) > MEMORY_WORDS:
+            self.spaced.clear()
+            self.words.clear()
+        fresh = set()
+        for chunks in split:
+            fresh.update(chunks[1:])
+        self._learn(fresh.difference(self.spaced))
+        heads = {chunks[0]: b"" for chunks in split}
+        # No space precedes the first chunk of a text.
+        found = {head: self.words_of(head) for head in heads}
+        fresh = {word: word.encode() for words in found.values() for word in words}
+        ids = {w: self.ranks[raw].to_bytes(4, "little") for w, raw in fresh.items() if raw in self.ranks}
+        fresh = {w: raw for w, raw in fresh.items() if w not in ids}
+        ids.update(zip(fresh, self.replay(list(fresh.values()))))
+        for head, words in found.items():
+            heads[head] = b"".join([ids[word] for word in words])
+        known = self.spaced.__getitem__
+        return [heads[chunks[0]] + b"".join(map(known, chunks[1:])) for chunks in split]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -213,24 +216,45 @@ def _merges(rank_file: bytes, pattern: str) -> Merges:
     return Merges(rank_file, pattern)
 
 
-def _mapped(df: DataFrame, column: Column, keep: list[str], out: str, work) -> DataFrame:
-    """``keep`` columns of ``df`` and binary ``out``, which ``work`` makes of a batch's values."""
+def _mapped(df: DataFrame, column: Column, keep: list[str], out: list[str], work) -> DataFrame:
+    """``keep`` columns of ``df`` and binary columns ``out``, which ``work`` makes of some values."""
     kept = [F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)]
     source = df.select(*kept, column.alias("_in"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("_out", T.BinaryType())])
+    made = [T.StructField(f"_o{i}", T.BinaryType()) for i in range(len(out))]
+    schema = T.StructType([*source.schema.fields[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(work(batch.column(len(keep)).to_pylist()), pa.binary())
-            names = [*batch.schema.names[:-1], "_out"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=names)
+        for whole in batches:
+            start = 0
+            for stop in _cuts(whole.column(len(keep))):
+                batch = whole.slice(start, stop - start)
+                columns = [pa.array(x, pa.binary()) for x in work(batch.column(len(keep)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+                start = stop
 
     done = source.mapInArrow(run, schema)
-    return done.select(*[F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)], F.col("_out").alias(out))
+    return done.select(
+        *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)],
+        *[F.col(f"_o{i}").alias(name) for i, name in enumerate(out)],
+    )
+
+
+def _cuts(values: pa.Array) -> list[int]:
+    """Ends of runs of rows that hold about CORPUS_BYTES each."""
+    sizes = np.nan_to_num(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(float))
+    part = np.cumsum(sizes) // CORPUS_BYTES
+    ends = np.flatnonzero(np.diff(part) > 0) + 1
+    return [*ends.tolist(), len(values)] if len(values) else []
+
+
+def _shared(df: DataFrame, rank_path: str):
+    with open(rank_path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
 
 
 def encode(
-    df: DataFrame, text: str, rank_path: str, pattern: str, keep: list[str], ids: str = "ids"
+    df: DataFrame, text: str, rank_path: str, pattern: str, keep: list[str], ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """Columns ``keep`` and binary ``ids``: the token ids as little-endian unsigned 32-bit integers.
 
@@ -238,32 +262,36 @@ def encode(
     token stays whole, any other is merged by rank. No special tokens. A task merges each distinct
     word of its texts once and keeps the results for the texts that follow; nothing is shuffled,
     so a hot source or copy costs no more than other rows. Null counts as the empty text, which
-    has no ids. The rank file is read by the driver; its size does not depend on the data.
+    has no ids. The rank file is read by the driver; its size does not depend on the data. With
+    ``decoded`` the ids are decoded again in the same pass, into that column.
     """
-    with open(rank_path, "rb") as file:
-        shared = df.sparkSession.sparkContext.broadcast(file.read())
-    return _mapped(df, F.col(text), keep, ids, lambda texts: list(_merges(shared.value, pattern).encode(texts)))
+    shared = _shared(df, rank_path)
+
+    def work(texts: list[str | None]) -> list[list[bytes]]:
+        merges = _merges(shared.value, pattern)
+        packed = merges.encode(texts)
+        return [packed, [merges.decode(x) for x in packed]] if decoded else [packed]
+
+    return _mapped(df, F.col(text), keep, [ids, decoded] if decoded else [ids], work)
 
 
 def decode(
     df: DataFrame, ids: str, rank_path: str, keep: list[str], out: str = "decoded"
 ) -> DataFrame:
     """Columns ``keep`` and binary ``out``: the bytes of the tokens in ``ids``; null gives no bytes."""
-    with open(rank_path, "rb") as file:
-        shared = df.sparkSession.sparkContext.broadcast(file.read())
+    shared = _shared(df, rank_path)
 
-    def work(values: list[bytes | None]) -> list[bytes]:
+    def work(values: list[bytes | None]) -> list[list[bytes]]:
         merges = _merges(shared.value, "")
-        return [merges.decode(packed or b"") for packed in values]
+        return [[merges.decode(packed or b"") for packed in values]]
 
-    return _mapped(df, F.col(ids), keep, out, work)
+    return _mapped(df, F.col(ids), keep, [out], work)
 
 
 def encode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens, and SHA-256 of the packed ids and of the bytes decoded from them."""
-    encoded = encode(docs, "text", rank_path, pattern, ["doc_id"])
-    decoded = decode(encoded, "ids", rank_path, ["doc_id", "ids"])
-    return decoded.select(
+    encoded = encode(docs, "text", rank_path, pattern, ["doc_id"], decoded="decoded")
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
