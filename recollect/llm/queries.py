@@ -78,14 +78,32 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
 
-# Exact in both engines: the searches by definition.
+# Components of the pairs in ``links`` (a, b), by the ids in ``nodes``.
+_REACHED = """
+        pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reached AS (
+            SELECT id AS start, id AS met FROM nodes
+            UNION SELECT r.start, b.b FROM reached r JOIN pairs b ON b.a = r.met)"""
+
 LLM_ORACLE: dict[str, str] = {
+    "op5_embedding_dedup": f"""
+        WITH RECURSIVE points AS (
+            SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT p.id AS a, q.id AS b FROM points p JOIN points q ON p.id < q.id AND len(p.v) = len(q.v)
+            WHERE list_cosine_similarity(p.v, q.v) >= 0.95),
+        nodes AS (SELECT vec_id AS id FROM embeddings), {_REACHED},
+        counts AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+        SELECT start AS vec_id, coalesce(any_value(n), 0) AS n_links, min(met) AS component_id, start = min(met) AS kept
+        FROM reached LEFT JOIN counts ON counts.id = start GROUP BY start""",
     "op6_topk_search": """
         WITH points AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
             SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
                    CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
@@ -93,4 +111,20 @@ LLM_ORACLE: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 5""",
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (
+            SELECT id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+            FROM words),
+        grams AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT p.id AS a, q.id AS b FROM grams p JOIN grams q ON p.g = q.g AND p.id < q.id
+                AND 10 * p.n >= 9 * q.n AND 10 * q.n >= 9 * p.n
+            GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+        nodes AS (SELECT DISTINCT id FROM sets), {_REACHED}
+        SELECT start AS doc_id, any_value(len(s)) AS n_shingles, min(met) AS component_id
+        FROM reached JOIN sets ON sets.id = start GROUP BY start""",
 }
