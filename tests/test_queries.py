@@ -7,10 +7,10 @@ import __spark_entry__ as entry
 from recollect.operators.staging import stage
 from recollect.plans import queries
 from recollect.plans import views as V
+from recollect.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = queries.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,8 @@ def duck():
 
 
 def test_every_counterpart_belongs_to_a_query():
-    assert ORACLE.keys() <= QUERIES.keys()
+    assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert QUERIES.keys() - ORACLE.keys() == {"epoch_shuffle", "baseline_score"}
 
 
