@@ -76,7 +76,7 @@ def plan_readers(
     plan = plan.withColumn(
         "seed", reader_seed(F.col("rank"), F.col("worker"), seed, epoch).cast("bigint")
     )
-    key = F.xxhash64("seed", shard) if shuffle else F.col("position")
+    key = _mixed("seed", shard) if shuffle else F.col("position")
     turn = Window.partitionBy("rank", "worker").orderBy(key, "position")
     return plan.withColumn("turn", F.when(F.col("used"), F.row_number().over(turn) - 1))
 
@@ -85,6 +85,11 @@ def reader_seed(rank: Column, worker: Column, seed: int = 42, epoch: int = 0) ->
     return F.lit(seed + epoch * EPOCH_FACTOR) + rank * RANK_FACTOR + worker
 
 
+def _mixed(*columns: str) -> Column:
+    """Order key that any engine can repeat: MD5 of the columns' text."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+
+
 def unread_rows(plan: DataFrame) -> DataFrame:
     """Shards and rows that a plan leaves unread."""
     left = ~F.col("used")
@@ -164,7 +169,7 @@ def shuffled_batches(
     is cut over many tasks.
     """
     assigned = assign_readers(rows, plan, shard).drop("turn")
-    keyed = assigned.withColumn("_shuffle_key", F.xxhash64("seed", *row_key))
+    keyed = assigned.withColumn("_shuffle_key", _mixed("seed", *row_key))
     placed = with_index(
         keyed, ["rank", "worker", "_shuffle_key", *row_key], name="_place", start=0
     ).join(_reader_offsets(plan), ["rank", "worker"])

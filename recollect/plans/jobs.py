@@ -69,8 +69,8 @@ def even_out_tail(
 ) -> None:
     """Rewrite the shards from ``start_index`` on as ``n_parts`` equal ones plus a remainder."""
     shards = tables.read_shards(spark, data_dir, mode)
-    first = f"{mode}-shard-{start_index:06d}.parquet"
-    tail = shards.where(F.col("shard_file") >= first)
+    number = F.regexp_extract("shard_file", r"-shard-(\d+)\.", 1).cast("bigint")
+    tail = shards.where(number >= start_index)
     sizes = tables.shard_rows(tail)
     before = sinks.feed.plan_offsets(
         sinks.feed.plan_readers(sizes, shard="shard_file")

@@ -390,6 +390,12 @@ ORACLE: dict[str, str] = {
         SELECT {_KEY}, shard_no, rank, worker, ((rows_before + row_in_shard) // 64)::BIGINT AS batch_id,
             (rows_before + row_in_shard)::BIGINT AS place
         FROM sharded JOIN offsets USING (shard_no) WHERE (rows_before + row_in_shard) // 64 < reader_rows // 64"""),
+    "epoch_shuffle": _with("samples", _SHARDS + f""", mixed AS (
+            SELECT *, 42 + 300 + rank * 10 + worker AS seed FROM sharded JOIN turns USING (shard_no) WHERE used),
+        dealt AS (SELECT *, count(*) OVER (PARTITION BY rank, worker) AS reader_rows, row_number() OVER (
+            PARTITION BY rank, worker ORDER BY md5(concat_ws('|', seed, {_FULL})), {_FULL}) - 1 AS place FROM mixed)
+        SELECT {_KEY}, shard_no, rank, worker, (place // 64)::BIGINT AS batch_id, place
+        FROM dealt WHERE place // 64 < reader_rows // 64"""),
     "rebalance": _with("samples", f"""SELECT {_KEY}, row_no,
             24 + least(row_no // (SELECT count(*) // 8 FROM samples), 8) AS shard_no FROM samples"""),
     "ingest_text": _with("customers lists", """SELECT uid, u1, u2, u3, u4, u5, coalesce(hist_items, '0') AS hist_items,

@@ -31,17 +31,19 @@ def write_shards(
 
     With ``order`` every shard but the last has exactly that many rows, in that order: rows are
     numbered first and each task then receives whole shards. Without it rows stay where they
-    are and the number is an upper bound per file.
+    are, the number is an upper bound per file, and the files already have their shard names.
     """
     if order is None:
         _shard_writer(df).option("maxRecordsPerFile", rows_per_shard).parquet(path)
+        _name_files(df.sparkSession, path, mode)
         return
     write_planned_shards(feed.shard_numbers(df, order, rows_per_shard), path, "row_no")
 
 
 def write_planned_shards(df: DataFrame, path: str, order: str) -> None:
     """Write rows that already carry ``shard_no``: one file per shard, rows by ``order``."""
-    placed = df.repartition("shard_no").sortWithinPartitions("shard_no", order).drop(order)
+    # Ranges keep neighbouring shards together and spread them evenly, which a hash of few numbers doesn't.
+    placed = df.repartitionByRange("shard_no").sortWithinPartitions("shard_no", order).drop(order)
     _shard_writer(placed).partitionBy("shard_no").parquet(path)
 
 
@@ -65,16 +67,28 @@ def name_shards(spark: SparkSession, path: str, mode: str) -> list[str]:
     return sorted(named)
 
 
+def _name_files(spark: SparkSession, path: str, mode: str) -> None:
+    """Give the part files of an unordered write shard names, numbered by their order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number, name in enumerate(sorted(f.getPath().getName() for f in fs.globStatus(hadoop.Path(root, "part-*.parquet")))):
+        target = f"{mode}-shard-{number:06d}.parquet"
+        if not fs.rename(hadoop.Path(root, name), hadoop.Path(root, target)):
+            raise OSError(f"cannot move {name} to {target}")
+
+
 def write_metadata(written: DataFrame, path: str, mode: str, shard: str = "shard_no") -> DataFrame:
-    """Write the sidecar of a written split and return it: mode, totals, schema, time."""
+    """Write the sidecar of a written split and return it as written: mode, totals, schema, time."""
     fields = [f"{f.name}: {f.dataType.simpleString()}" for f in written.schema if f.name != shard]
     meta = feed.shard_totals(written, shard).select(
         F.lit(mode).alias("mode"), "total_rows", "num_shards",
         F.array(*[F.lit(x) for x in fields]).alias("schema"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
     )
-    _write_line(written.sparkSession, f"{path}/metadata.json", meta.toJSON().first())
-    return meta
+    spark = written.sparkSession
+    _write_line(spark, f"{path}/metadata.json", meta.toJSON().first())
+    return spark.read.schema(meta.schema).json(f"{path}/metadata.json")
 
 
 def _write_line(spark: SparkSession, path: str, text: str) -> None:

@@ -198,3 +198,12 @@ def test_streamed_metrics_match_batch(spark, tmp_path):
     batch = M.running_metrics(scores, "part").orderBy(F.desc("step")).first()
     for name in ("gauc_so_far", "pair_auc_so_far", "auroc_so_far", "mean_loss"):
         assert last[name] == pytest.approx(batch[name])
+
+
+def test_unordered_shards_can_be_read_as_shards(spark, tmp_path):
+    rows = spark.range(1000).repartition(3)
+    sinks.write_shards(rows, f"{tmp_path}/out", "test", rows_per_shard=200)
+    shards = tables.read_shards(spark, f"{tmp_path}/out", "test", rows.schema)
+    assert shards.count() == 1000 and shards.select("id").distinct().count() == 1000
+    sizes = [r["count"] for r in shards.groupBy("shard_file").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 200
