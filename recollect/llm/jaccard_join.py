@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.common import components, hash_share, small_side
+from recollect.llm.vectors import groups, matrix
 from recollect.operators.staging import scope, stage
 
-# Bits of a document's token bitmap.
-BITMAP_BITS = 1024
+# Bits of a document's token bitmap in a tree. Sets above WIDE_GRAMS have a second one, with about
+# WIDE_BITS bits for each gram, by which single pairs are judged.
+BITMAP_BITS = 2048
+WIDE_GRAMS, WIDE_BITS = 512, 4
 # Documents of one leaf block of a signature tree, and the children of an inner node.
 BLOCK_ROWS = 256
 FANOUT = 8
-# Texts that are read to find the n-grams that many texts share, how many of those texts make one
-# frequent, and how many frequent ones are set aside. They only order the n-grams; any order gives
-# the same result.
-SAMPLE_TEXTS = 8192
-SAMPLE_HITS = 8
-SAMPLE_GRAMS = 50_000
+# Part of all texts that is read to find the n-grams that many texts share, the least number of
+# texts for it, how many of those texts make a gram frequent, and how many frequent grams are set
+# aside. As a fixed part it finds grams above a fixed number of texts in a table of any size. They
+# only order the n-grams; any order gives the same result.
+SAMPLE_SHARE = 1 / 32
+SAMPLE_TEXTS = 2048
+SAMPLE_HITS = 2
+SAMPLE_GRAMS = 250_000
 _MEMORY_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,13 +65,32 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """BITMAP_BITS bits as 64-bit words, one set for each gram."""
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(grams % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
+def bitmap(grams: np.ndarray, width: int = BITMAP_BITS) -> np.ndarray:
+    """``width`` bits as 64-bit words, one set for each gram."""
+    bits = np.zeros(width, np.uint8)
+    bits[(grams % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def wide_bitmap(grams: np.ndarray) -> bytes | None:
+    """Bitmap of a large set, as long as the next power of two; null for a small set."""
+    if len(grams) <= WIDE_GRAMS:
+        return None
+    return bitmap(grams, 1 << (WIDE_BITS * len(grams) - 1).bit_length()).tobytes()
+
+
+def most_shared(size_a: int, wide_a: bytes, size_b: int, wide_b: bytes) -> int:
+    """Largest intersection that two sets with these bitmaps may have."""
+    a, b = np.frombuffer(wide_a, np.uint64), np.frombuffer(wide_b, np.uint64)
+    # The longer one is folded: its halves hold the same places modulo the shorter length.
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    hidden = min(size_a - int(np.bitwise_count(a).sum()), size_b - int(np.bitwise_count(b).sum()))
+    return int(np.bitwise_count(a & b).sum()) + hidden
+
+
 def _required(total: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Least intersection of two sets of joint size ``total`` with 100 * inter >= percent * union."""
     return -(-percent * total // (100 + percent))
@@ -82,37 +106,43 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: list[int]) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).astype(np.uint64)))
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("same", T.BinaryType()),
-        T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, late = Shingler(n), shared.value
         for batch in batches:
-            sizes, same, bits, prefixes = [], [], [], []
+            sizes, same, bits, wide, prefixes = [], [], [], [], []
             for text in batch.column(1):
                 grams = shingler.grams(text.as_py())
                 size = len(grams)
                 sizes.append(size)
                 same.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                bits.append(bitmap(grams).tobytes())
+                bits.append(bitmap(grams).view(np.int64))
+                wide.append(wide_bitmap(grams))
                 # A partner has at least percent of this set's size, and so has the intersection.
                 first = size - -(-percent * size // 100) + 1 if size else 0
                 if len(late) and size:
                     is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
                     grams = np.concatenate([grams[~is_late], grams[is_late]])
                 prefixes.append(grams[:first].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(bits, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), _lists(bits),
+                pa.array(wide, pa.binary()), _lists(prefixes),
             ], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
 def _frequent(docs: DataFrame, n: int) -> list[int]:
-    """Grams that several texts of a bounded sample share, the most frequent first."""
+    """Grams that several texts of a sample share, the most frequent first and no more than SAMPLE_GRAMS."""
     rows = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +153,9 @@ def _frequent(docs: DataFrame, n: int) -> list[int]:
                     [pa.array(shingler.grams(text.as_py()).view(np.int64), pa.int64())], names=["gram"]
                 )
 
-    sample = docs.where(hash_share(F.col("id"), min(1.0, SAMPLE_TEXTS / max(rows, 1))))
+    sample = docs.where(hash_share(F.col("id"), min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(rows, 1)))))
     counted = sample.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= SAMPLE_HITS)
-    return [row["gram"] for row in counted.orderBy(F.desc("count"), "gram").limit(SAMPLE_GRAMS).collect()]
+    return counted.orderBy(F.desc("count"), "gram").limit(SAMPLE_GRAMS).toPandas()["gram"].tolist()
 
 
 class Tree:
@@ -214,6 +244,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps and sizes leave room for the required overlap."""
+    side = lambda name: heads.select(
+        *[F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "size", "bits", "wide")]
+    )
+    columns = ["a", "b", *[f"{c}_{name}" for c in ("size", "bits", "wide") for name in "ab"]]
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = _bit_rows(batch.column(4)), _bit_rows(batch.column(5))
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            hidden = np.minimum(size_a - np.bitwise_count(a).sum(axis=1), size_b - np.bitwise_count(b).sum(axis=1))
+            needed = _required(size_a + size_b, percent)
+            fits = np.bitwise_count(a & b).sum(axis=1) + hidden >= needed
+            for k in np.flatnonzero(fits):
+                wide_a, wide_b = batch.column(6)[k].as_py(), batch.column(7)[k].as_py()
+                if wide_a and wide_b:
+                    fits[k] = most_shared(int(size_a[k]), wide_a, int(size_b[k]), wide_b) >= needed[k]
+            yield batch.filter(pa.array(fits)).select(["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bit_rows(bits: pa.Array) -> np.ndarray:
+    return matrix(bits).view(np.uint64)
+
+
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, that may agree, from rows (gram, id, size, bits, class) by gram.
 
@@ -231,7 +291,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         banded.join(counts, ["gram", "band"])
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"), "leaves",
     )
-    words = [F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(BITMAP_BITS // 64)]
+    words = [F.get("bits", k) for k in range(BITMAP_BITS // 64)]
     excess = F.col("size") - sum((F.bit_count(word) for word in words), F.lit(0))
     nodes = rows.withColumn("excess", excess).withColumns({f"w{k}": word for k, word in enumerate(words)}).groupBy(
         "gram", "band", "block"
@@ -264,13 +324,17 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         node_pairs.select("gram", F.col(f"band_{s}").alias("band"), F.col(f"block_{s}").alias("block"), "pair", F.lit(k).alias("side"))
         for k, s in enumerate("lr")
     ]
-    moved = rows.join(sides[0].union(sides[1]).distinct(), ["gram", "band", "block"]).select(
+    # A block paired with itself moves once.
+    sides[1] = sides[1].join(
+        sides[0].select("pair", "gram", "band", "block"), ["pair", "gram", "band", "block"], "left_anti"
+    )
+    moved = rows.join(sides[0].union(sides[1].select(sides[0].columns)), ["gram", "band", "block"]).select(
         "pair", "side", "id", "size", "bits", "class"
     )
     parts = moved.repartition("pair").sortWithinPartitions("pair", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in groups(batches, 1):
             a, b = _walk(group, percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -278,31 +342,11 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     return parts.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows with the same first column, across batch borders."""
-    open_rows: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        if open_rows and open_rows[0].column(0)[0].as_py() != key[0]:
-            yield pa.Table.from_batches(open_rows)
-            open_rows = []
-        starts = [0, *cuts.tolist()]
-        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
-            open_rows.append(batch.slice(start, stop - start))
-            if stop < batch.num_rows:
-                yield pa.Table.from_batches(open_rows)
-                open_rows = []
-    if open_rows:
-        yield pa.Table.from_batches(open_rows)
-
-
 def _walk(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     side, ids, sizes, classes = (group.column(k).to_numpy() for k in ("side", "id", "size", "class"))
-    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
+    bits = _bit_rows(group.column("bits").combine_chunks())
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left  # a block with itself
     tree = Tree(sizes[left], bits[left])
     other = Tree(sizes[right], bits[right])
     a, b = tree.pairs(other, percent)
@@ -325,7 +369,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     grams; what these checks link is one group. Only grams whose members are still of several
     groups go to the signature trees, and only pairs of different groups come out of them, so a
     family of near copies costs about one check each and no pair of different groups is lost.
-    Every candidate pair is checked on whole texts.
+    Every candidate pair is checked on whole texts, once its bitmaps leave room for enough overlap.
     """
     with scope() as keep:
         source = docs.select("id", F.col("text").cast("binary").alias("text"))
@@ -341,23 +385,28 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         )
         others = small_side(tied.select(F.col("b").alias("id"), "same"), 64)
         heads = full.join(others, ["id", "same"], "left_anti").dropDuplicates(["id", "same"])
-        prefix = stage(heads.select("id", "size", F.explode("prefix").alias("gram")), "prefix")
+        prefix = heads.select("id", "size", F.explode("prefix").alias("gram"))
         met = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("leader")).where("n > 1")
         grams = stage(prefix.join(met.drop("n"), "gram"), "met")
 
         near = (100 * F.col("size") >= percent * F.col("leader.size")) & (100 * F.col("leader.size") >= percent * F.col("size"))
         votes = grams.where((F.col("leader.id") < F.col("id")) & near).groupBy("id", F.col("leader.id").alias("lead")).count()
         chosen = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
-        star = stage(chosen.select("a", F.col("id").alias("b")), "star")
+        star = stage(_plausible(chosen.select("a", F.col("id").alias("b")), heads, percent), "star")
         first = stage(_verified(star, named, n, percent), "links")
         grouped = components(first)
 
         placed = grams.join(grouped, "id", "left").select(
             "gram", "id", "size", F.coalesce("component", "id").alias("class")
         )
-        mixed = placed.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("gram")
+        # Grams with the same members are one: a digest of the members tells.
+        mixed = placed.groupBy("gram").agg(
+            F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"),
+        ).where("x < y").groupBy("n", "one", "two").agg(F.min("gram").alias("gram")).select("gram")
         members = placed.join(mixed, "gram").join(heads.select("id", "bits"), "id")
         candidates = stage(_tree_pairs(stage(members, "members"), percent), "candidates")
+        candidates = stage(_plausible(candidates, heads, percent), "plausible")
         second = _verified(candidates, named, n, percent)
         found = components(first.union(second).union(tied.select("a", "b")))
         out = sets.select("id", "size").join(found, "id", "left").select(
