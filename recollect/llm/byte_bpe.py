@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bytes of text whose words are merged together, and encoded words that a Python worker remembers.
-CORPUS_BYTES = 6 << 20
-MEMORY_WORDS = 700_000
+# Bytes of text whose words are merged together, and encoded words that a task remembers.
+CORPUS_BYTES = 3 << 20
+MEMORY_WORDS = 400_000
 _PAIR = 1 << 32
 # A single space between two other characters. No match of a usual pre-split pattern crosses it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
@@ -189,8 +189,7 @@ class Merges:
         """Packed ids of each text; the words of all texts are merged together."""
         split = [_GAP.split(text or "") for text in texts]
         if len(self.spaced) + len(self.words) > MEMORY_WORDS:
-            self.spaced.clear()
-            self.words.clear()
+            self.forget()
         fresh = set()
         for chunks in split:
             fresh.update(chunks[1:])
@@ -207,6 +206,11 @@ class Merges:
         known = self.spaced.__getitem__
         return [heads[chunks[0]] + b"".join(map(known, chunks[1:])) for chunks in split]
 
+    def forget(self) -> None:
+        """Drop the remembered words; a worker outlives its task and shouldn't hold them."""
+        self.spaced.clear()
+        self.words.clear()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
@@ -216,8 +220,11 @@ def _merges(rank_file: bytes, pattern: str) -> Merges:
     return Merges(rank_file, pattern)
 
 
-def _mapped(df: DataFrame, column: Column, keep: list[str], out: list[str], work) -> DataFrame:
-    """``keep`` columns of ``df`` and binary columns ``out``, which ``work`` makes of some values."""
+def _mapped(df: DataFrame, column: Column, keep: list[str], out: list[str], work, forget) -> DataFrame:
+    """``keep`` columns of ``df`` and binary columns ``out``, which ``work`` makes of some values.
+
+    ``forget`` is called when a task ends.
+    """
     kept = [F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)]
     source = df.select(*kept, column.alias("_in"))
     made = [T.StructField(f"_o{i}", T.BinaryType()) for i in range(len(out))]
@@ -231,6 +238,7 @@ def _mapped(df: DataFrame, column: Column, keep: list[str], out: list[str], work
                 columns = [pa.array(x, pa.binary()) for x in work(batch.column(len(keep)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
                 start = stop
+        forget()
 
     done = source.mapInArrow(run, schema)
     return done.select(
@@ -272,7 +280,7 @@ def encode(
         packed = merges.encode(texts)
         return [packed, [merges.decode(x) for x in packed]] if decoded else [packed]
 
-    return _mapped(df, F.col(text), keep, [ids, decoded] if decoded else [ids], work)
+    return _mapped(df, F.col(text), keep, [ids, decoded] if decoded else [ids], work, lambda: _merges(shared.value, pattern).forget())
 
 
 def decode(
@@ -285,7 +293,7 @@ def decode(
         merges = _merges(shared.value, "")
         return [[merges.decode(packed or b"") for packed in values]]
 
-    return _mapped(df, F.col(ids), keep, [out], work)
+    return _mapped(df, F.col(ids), keep, [out], work, lambda: None)
 
 
 def encode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

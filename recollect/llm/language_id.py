@@ -22,8 +22,8 @@ SAMPLE_TEXT_BYTES = 1 << 20
 UNDEFINED = "und"
 # Bytes per window: longer runs of letters are cut, every byte stays in one window.
 WINDOW = 24
-# Words that a Python worker remembers.
-MEMORY_WORDS = 300_000
+# Words that a task remembers.
+MEMORY_WORDS = 200_000
 # Runs of letters, seen as bytes of lower-cased UTF-8.
 _WORDS = re.compile(rb"[a-z\x80-\xff]+").findall
 
@@ -206,9 +206,9 @@ class Reader:
 
     def __init__(self, net: ByteNetwork):
         self.net = net
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.sums = np.zeros((0, len(self.net.languages)), np.float32)
         self.sizes = np.zeros(0, np.int64)
@@ -219,7 +219,7 @@ class Reader:
         for start in range(0, len(texts), 500):
             split = [_WORDS((text or b"").lower()) for text in texts[start:start + 500]]
             if len(self.place) > MEMORY_WORDS:
-                self._forget()
+                self.forget()
             fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
             if fresh:
                 self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
@@ -271,6 +271,7 @@ def with_language(docs: DataFrame, net: ByteNetwork | None, keep: dict[str, Colu
                 [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 names=[*batch.schema.names[:-1], "_lang", "_score"],
             )
+        _reader(packed.value).forget()  # a worker outlives its task
 
     found = source.mapInArrow(run, schema)
     return found.select(*names, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
