@@ -151,6 +151,18 @@ def test_blocks_of_an_article():
     assert page_text.blocks("<div id=side-bar>x</div><div class=sidebar>y</div>") == [(1, "x")]
 
 
+def test_marks_are_whole_attributes_and_spare_what_holds_the_article():
+    texts = lambda page: [t for _, t in page_text.blocks(page)]
+    assert texts("<p>a <a href='/trails/hidden-valley'>b</a> <a href=\"/story?id=related\">c</a> <a href=/x?class=ad>d</a></p>") == ["a b c d"]
+    assert texts("<p title='role=main' data-hidden=1>x</p>") == ["x"] and page_text.blocks("<p title='role=main'>x") == [(1, "x")]
+    assert texts("<p hidden>x</p><p HIDDEN=''>y</p><p style='display : none'>z</p><p id='a' class=\"ad\">w</p>") == []
+    assert texts("<div class='content has-sidebar'><article>x</article></div>") == ["x"]
+    assert texts("<div id='main-no-ads'><p>x</p></div><div class=withComments>y</div>") == ["x", "y"]
+    assert texts("<div class='widget'><section><main>x</main></section><div class=ads>y</div></div>") == ["x"]
+    # Teasers and comments beside the article stay out.
+    assert page_text.blocks("<article>m<div class=comments><article>c</article></div></article><div class=related><article>t</article></div>") == [(2, "m")]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(2)
 
