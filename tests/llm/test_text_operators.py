@@ -201,3 +201,25 @@ def test_pages_lose_what_they_share_with_the_nearest_url(spark):
     assert got[9] == got[10] == "Site menu here\n\nsame\n\nAll rights kept"
     assert got[11] == "\n\n".join(["w"] * 20_000)
     assert page_text.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_go_and_copied_articles_stay(spark):
+    menu = [f"menu {k}" for k in range(20)]
+
+    def page(own):
+        return "".join(f"<p>{line}</p>" for line in menu[:10] + own + menu[10:])
+
+    story = lambda name, n=4: [f"{name} {k}" for k in range(n)]
+    rows = [(k, f"http://short.org/{k}", page(story(f"s{k}"))) for k in range(6)]  # a template of 83 %
+    # A run of equal copies, and articles that share most of their lines, among other pages.
+    rows += [(10 + k, f"http://run.org/b{k}", page(story("same"))) for k in range(4)]
+    rows += [(20 + k, f"http://run.org/{k}", page(story(f"r{k}", 9))) for k in range(3)]
+    rows += [(30 + k, f"http://near.org/a{k}", page(story("near", 30) + [f"of day {k}"] + story(f"n{k}", 18))) for k in range(2)]
+    rows += [(32 + k, f"http://near.org/b{k}", page(story(f"f{k}", 30))) for k in range(3)]
+    rows += [(40 + k, f"http://two.org/{k}", page(story(f"t{k}"))) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in page_text.extract(pages).collect()}
+    assert all(got[k] == story(f"s{k}") for k in range(6)) and all(got[10 + k] == story("same") for k in range(4))
+    assert all(got[20 + k] == story(f"r{k}", 9) for k in range(3)) and all(got[32 + k] == story(f"f{k}", 30) for k in range(3))
+    assert all(got[30 + k] == story("near", 30) + [f"of day {k}"] + story(f"n{k}", 18) for k in range(2))
+    assert all(got[40 + k] == story(f"t{k}") for k in range(2))
