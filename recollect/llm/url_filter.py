@@ -10,10 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import hash_share, lower_ascii, small_side
+from recollect.llm.common import BROADCAST_BYTES, hash_share, lower_ascii
+from recollect.operators.skew import lookup_join
 from recollect.operators.staging import scope, stage
 
-# Labelled URLs that training may use, about.
+# Labelled URLs that the trees may be fitted to, about.
 TRAIN_ROWS = 20_000
 # Weight of the overall share in the share of one suffix.
 PRIOR_ROWS = 20.0
@@ -46,6 +47,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found if found is not F else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def suffix_keys(host: Column) -> dict[str, Column]:
+    """Last label of a host, and its last two."""
+    return {"suffix": F.element_at(F.split(host, r"\."), -1), "domain": F.substring_index(host, ".", -2)}
+
+
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Features that depend on the URL's characters alone; null counts as empty."""
     url = F.coalesce(url, F.lit(""))
@@ -71,57 +77,86 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "has_fragment": F.instr(url, "#") > 0, "secure": F.startswith(url, F.lit("https://")),
         "longest_segment": F.coalesce(F.array_max(F.transform(segments, lambda s: F.length(s))), F.lit(0)),
         # Not features themselves: the keys of the suffix statistics.
-        "suffix": F.element_at(labels, -1), "domain": F.substring_index(host, ".", -2),
+        **suffix_keys(host),
     }
 
 
+def _lookup(rows: DataFrame, rates: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """Left join with a rate table; where it can't be sent out, a hot key's rows are cut over tasks."""
+    if rates.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(rates), key, "left")
+    return lookup_join(rows, rates, key, spread=["url"])
+
+
 def _with_rates(rows: DataFrame, suffixes: DataFrame, domains: DataFrame, overall: float) -> DataFrame:
-    joined = rows.join(suffixes, "suffix", "left").join(domains, "domain", "left")
+    joined = _lookup(_lookup(rows, suffixes, "suffix", 96), domains, "domain", 128)
     filled = joined.fillna({"suffix_rows": 0.0, "suffix_rate": overall, "domain_rate": overall})
     return filled.withColumns({name: F.col(name).cast("double") for name in FEATURES})
 
 
 def _rates(labelled: DataFrame, key: str, name: str, overall: float) -> DataFrame:
-    rows, bad = F.count(F.lit(1)), F.sum("label")
+    rows, bad = F.sum("rows"), F.sum("bad")
     return labelled.groupBy(key).agg(
         rows.cast("double").alias(f"{name}_rows"),
         ((bad + PRIOR_ROWS * overall) / (rows + PRIOR_ROWS)).alias(f"{name}_rate"),
     )
 
 
+def _class_shares(blocked: int, allowed: int, most: int) -> dict[bool, float]:
+    """Share of each class in the training sample: of ``most`` URLs each class may have half.
+
+    What a small class leaves goes to the other.
+    """
+    half = most / 2
+    room = {True: max(half, most - allowed), False: max(half, most - blocked)}
+    return {True: min(1.0, room[True] / blocked), False: min(1.0, room[False] / allowed)}
+
+
 def judge(
     urls: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """``urls`` with double ``block_score`` and ``blocked`` from trees trained on ``labelled``.
 
-    Both have ``url``, ``host``, ``path``; ``labelled`` has boolean ``block`` too. Training takes
-    about ``train_rows`` labelled URLs, chosen by a hash of the URL, so it costs the same at any
-    size; suffix statistics come from those rows and are no longer than them. All work runs in the
-    JVM. If the labels name one class or none, that class (else "not blocked") is the answer.
+    Both have ``url``, ``host``, ``path``; ``labelled`` has boolean ``block`` too. Suffix and domain
+    statistics and the rows of each class are counted over all labelled rows. Only the trees are
+    fitted to a sample of about ``train_rows`` distinct URLs, up to half of them (and what the other
+    leaves) of each class, chosen by a hash of the URL. A URL weighs as its rows, and as the URLs of
+    its class that it stands for. All work runs in the JVM. If the labels name one class or none,
+    that class (else "not blocked") is the answer.
     """
     with scope() as keep:
-        rows = labelled.count()
-        sample = stage(
-            labelled.where(hash_share(F.col("url"), min(1.0, train_rows / max(rows, 1)))).select(
-                *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()],
-                F.col("block").cast("double").alias("label"),
-            ), "labelled-urls",
+        distinct = stage(
+            labelled.groupBy("url", "host", "path", "block").agg(F.count(F.lit(1)).alias("rows"))
+            .withColumn("label", F.col("block").cast("double")), "labelled-urls",
         )
-        seen = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
-        if seen["bad"] in (0, seen["n"]):
+        counted = stage(
+            distinct.select(*[c.alias(n) for n, c in suffix_keys(F.col("host")).items()], "block", "rows", "label")
+            .groupBy("suffix", "domain").agg(
+                F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("label")).alias("bad"),
+                F.count(F.lit(1)).alias("urls"), F.count_if("block").alias("bad_urls"),
+            ), "labelled-domains",
+        )
+        sums = {name: F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("rows", "bad", "urls", "bad_urls")}
+        seen = counted.agg(*sums.values()).first()
+        if seen["bad"] in (0, seen["rows"]):
             blocked = bool(seen["bad"])
             return urls.withColumns({"block_score": F.lit(float(blocked)), "blocked": F.lit(blocked)})
-        overall = seen["bad"] / seen["n"]
-        suffixes = keep(_rates(sample, "suffix", "suffix", overall), "suffixes")
-        domains = keep(_rates(sample, "domain", "domain", overall).drop("domain_rows"), "domains")
-        suffixes, domains = small_side(suffixes, 96), small_side(domains, 128)
+        overall = seen["bad"] / seen["rows"]
+        suffixes = keep(_rates(counted, "suffix", "suffix", overall), "suffixes")
+        domains = keep(_rates(counted, "domain", "domain", overall).drop("domain_rows"), "domains")
+        shares = _class_shares(seen["bad_urls"], seen["urls"] - seen["bad_urls"], train_rows)
+        share = F.when(F.col("block"), F.lit(shares[True])).otherwise(F.lit(shares[False]))
+        sample = distinct.where(hash_share(F.col("url"), share)).select(
+            "url", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()],
+            "label", (F.col("rows") / share).alias("_weight"),
+        )
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
         trees = GBTClassifier(
-            featuresCol="_features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=11,
+            featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=20, maxDepth=4, stepSize=0.2, seed=11,
             checkpointInterval=-1,
         )
-        ready = stage(assemble.transform(_with_rates(sample, suffixes, domains, overall)).select("_features", "label"), "train")
-        model = trees.fit(ready)
+        rated = assemble.transform(_with_rates(sample, suffixes, domains, overall))
+        model = trees.fit(stage(rated.select("_features", "label", "_weight"), "train"))
     features = {n: c for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()}
     rated = _with_rates(urls.withColumns(features), suffixes, domains, overall)
     scored = model.transform(assemble.transform(rated))

@@ -91,6 +91,20 @@ def test_url_rules_decide_and_trees_learn_the_rest(spark):
     assert judged.where("blocked <> block").count() == 0
 
 
+def test_url_statistics_cover_all_labels_and_rare_classes_are_trained(spark):
+    # 20 blocked URLs among 20,000, on domains of their own: a sample of 50 rows would miss them all.
+    blocked = F.col("id") % 1000 == 7
+    name = F.concat(F.when(blocked, F.lit("bad")).otherwise(F.lit("good")), (F.col("id") % 100).cast("string"))
+    host = F.concat(F.lit("w."), name, F.when(blocked, F.lit(".xx")).otherwise(F.lit(".net")))
+    labelled = spark.range(20_000).select(
+        F.concat(F.lit("http://"), host, F.lit("/"), F.format_string("%05d", "id")).alias("url"), host.alias("host"),
+        F.format_string("/%05d", "id").alias("path"), blocked.alias("block"),
+    )
+    fresh = labelled.where("block or path < '/00300'").select(F.concat("url", F.lit("9")).alias("url"), "host", F.concat("path", F.lit("9")).alias("path"), "block")
+    judged = url_filter.judge(fresh, labelled, train_rows=50)
+    assert judged.where("block").count() == 20 and judged.where("blocked <> block").count() == 0
+
+
 VECTORS = [
     (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]),
     (7, [2.0, 0.01]), (8, [1.0, 0.0, 0.0]), (9, []), (None, [1.0, 0.0]), (10, [1e300, 1e280]), (11, [float("inf"), 0.0]),
