@@ -223,3 +223,24 @@ def test_templates_go_and_copied_articles_stay(spark):
     assert all(got[20 + k] == story(f"r{k}", 9) for k in range(3)) and all(got[32 + k] == story(f"f{k}", 30) for k in range(3))
     assert all(got[30 + k] == story("near", 30) + [f"of day {k}"] + story(f"n{k}", 18) for k in range(2))
     assert all(got[40 + k] == story(f"t{k}") for k in range(2))
+
+
+def test_notices_are_found_within_lines_and_named_by_their_version(spark):
+    mit = [text for name, text in license_scan.TEMPLATES if name == "MIT"][-1]
+    bsd = {name: text for name, text in license_scan.TEMPLATES if name.startswith("BSD")}
+    prose = "many words about a walk to the old mill by the river " * 40
+    rows = [
+        ("a/x", "Copyright 2020 Jane Doe. Released under the MIT License. All rights reserved by the author."),
+        ("b/x", prose + "Licensed under the Apache License, Version 2.0. " + prose), ("c/x", "Licensed under the Apache License, Version 1.1."),
+        ("d/x", "Licensed under the Apache License, Version 7.5, or 4.0."), ("e/x", "a\n\nLicensed under\nCC BY-ND 4.0."),
+        ("f/LICENSE", mit.replace("(c)", "(c) 2021 Jane Doe")), ("f/y", "code"), ("g/LICENSE", bsd["BSD-2-Clause"]), ("g/y", "code"),
+        ("h/LICENSE", bsd["BSD-3-Clause"]), ("h/y", "code"), ("i/x", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ] + [(f"z/{k}", prose) for k in range(40)]
+    found = license_scan.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()
+    got = {r["path"]: (r["licence"], r["line"]) for r in found if r["path"][0] != "z"}
+    assert got == {
+        "a/x": ("MIT", 1), "b/x": ("Apache-2.0", 1), "c/x": ("Apache-1.1", 1), "d/x": (None, None), "e/x": ("CC-BY-ND-4.0", 3),
+        "f/LICENSE": ("MIT", 1), "f/y": ("MIT", None), "g/LICENSE": ("BSD-2-Clause", 1), "g/y": ("BSD-2-Clause", None),
+        "h/LICENSE": ("BSD-3-Clause", 1), "h/y": ("BSD-3-Clause", None), "i/x": ("LGPL-2.1", 1),
+    }
+    assert all(r["licence"] is None for r in found if r["path"][0] == "z")
