@@ -40,10 +40,10 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _summaries(data: DataFrame, queries: DataFrame, pivots: np.ndarray, top: float, k: int) -> dict[int, tuple[float, float]]:
     """For each query group its radius and an upper bound of every query's k-th distance.
 
-    Both sides send one row per pivot and batch: the radius of the queries, and for every pivot
-    the k + 1 smallest distances of data (a query may be one of them). A query is at most the
-    radius from its pivot, so the k + 1 data nearest to the pivot are at most radius + distance
-    away; the k-th other one is among them.
+    Both sides send a few rows per pivot and batch: the radius of the queries, and for every pivot
+    the k + 1 keys with the smallest distances of data (a query's may be one of them). A query is at
+    most the radius from its pivot, so the k + 1 keys nearest to the pivot are at most radius +
+    distance away; the k-th other one is among them.
     """
     shared = data.sparkSession.sparkContext.broadcast((pivots, top))
 
@@ -60,13 +60,19 @@ def _summaries(data: DataFrame, queries: DataFrame, pivots: np.ndarray, top: flo
         p, most = shared.value
         for batch in batches:
             if batch.num_rows:
-                d = np.sort(_distances(_lifted(matrix(batch.column(1)), most), p), axis=0)[:k + 1]
-                part = np.tile(np.arange(len(p)), len(d))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(d.ravel())], names=["part", "far"])
+                ids = batch.column(0).to_numpy()
+                by_key = np.argsort(ids, kind="stable")
+                keys, starts = np.unique(ids[by_key], return_index=True)
+                d = np.minimum.reduceat(_distances(_lifted(matrix(batch.column(1)), most), p)[by_key], starts)
+                first = np.argsort(d, axis=0, kind="stable")[:k + 1]
+                part = np.tile(np.arange(len(p)), len(first))
+                far = np.take_along_axis(d, first, axis=0).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys[first.ravel()]), pa.array(far)], names=["part", "id", "far"])
 
     radius = {r["part"]: r["far"] for r in queries.mapInArrow(radii, "part int, far double").groupBy("part").agg(F.max("far").alias("far")).collect()}
     order = Window.partitionBy("part").orderBy("far")
-    near = data.mapInArrow(nearest, "part int, far double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    nearest_keys = data.mapInArrow(nearest, "part int, id long, far double").groupBy("part", "id").agg(F.min("far").alias("far"))
+    near = nearest_keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     bound = {r["part"]: (r["n"], r["far"]) for r in near.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     return {
         part: (far, far + bound[part][1] if part in bound and bound[part][0] > k else float("inf"))
@@ -75,12 +81,17 @@ def _summaries(data: DataFrame, queries: DataFrame, pivots: np.ndarray, top: flo
 
 
 def _solve(group: pa.Table, k: int) -> pa.RecordBatch:
-    """The k best data rows of the block for each query of the block."""
+    """The k best keys of the block for each query of the block, each by its best row.
+
+    Rows of one key are dealt to one block, so that none takes the place of another key.
+    """
     role, ids = group.column("role").to_numpy(), group.column("id").to_numpy()
     vectors = matrix(group.column("vector").combine_chunks())
     queries, data = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     data = data[np.argsort(ids[data], kind="stable")]
-    right, right_ids = vectors[data], ids[data]
+    right = vectors[data]
+    right_ids, starts = np.unique(ids[data], return_index=True)
+    repeated = len(right_ids) < len(data)
     largest = float(np.abs(vectors).max()) if len(vectors) else 0.0
     exact = largest * largest * max(1, vectors.shape[1]) < _EXACT
     right = right.astype(np.float64 if exact else np.int64)
@@ -88,6 +99,8 @@ def _solve(group: pa.Table, k: int) -> pa.RecordBatch:
     for start in range(0, len(queries), PRODUCT_ROWS):
         mine = queries[start:start + PRODUCT_ROWS]
         scores = vectors[mine].astype(right.dtype) @ right.T
+        if repeated:
+            scores = np.maximum.reduceat(scores, starts, axis=1)
         lowest = -np.inf if exact else np.iinfo(np.int64).min
         own = ids[mine][:, None] == right_ids[None, :]
         scores[own] = lowest
@@ -190,7 +203,7 @@ def top_k(vectors: DataFrame, key: str, vector: str, is_query: str, k: int = 5,
         if found is None:
             found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        # A key with several vectors may answer twice; its better score counts.
+        # A key with several vectors, or a query with several, may answer twice; the better score counts.
         ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
         out = ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         return keep(out, "top-k")

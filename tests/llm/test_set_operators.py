@@ -262,3 +262,11 @@ def test_mixture_meets_targets_and_is_repeatable(spark, monkeypatch):
     assert taken.columns == docs.columns
     assert sum(size(r["text"]) for r in taken.collect()) == got.taken.sum()
     assert source_mix.mixture(docs.limit(0)).count() == 0
+
+
+def test_top_k_finds_k_keys_where_keys_have_many_vectors(spark):
+    # Key 1 has 30 vectors that are all better than those of the other keys.
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, float(k)]) for k in range(30)] + [(k, [2.0 + k / 10, 0.0]) for k in range(2, 12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["rank"]: r["vec_id"] for r in topk_search.top_k(vectors, "vec_id", "embedding", "id = 0").collect()}
+    assert got == {1: 1, 2: 11, 3: 10, 4: 9, 5: 8}
