@@ -293,9 +293,11 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """Rows of ``docs``, columns unchanged, whose language is known with ``least_score`` or more.
 
     Rows with an unknown language, so without text or letters, go; so do those on which the
-    network is undecided.
+    network is undecided. Where no label gave a network, all rows with letters stay.
     """
     net = train(docs.where(~held_out() & F.col("doc_id").isNotNull()), "doc_id")
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = with_language(docs, net, {f"c{i}": docs[name] for i, name in enumerate(docs.columns)})
     known = found.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least_score))
     return known.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])

@@ -244,3 +244,8 @@ def test_notices_are_found_within_lines_and_named_by_their_version(spark):
         "h/LICENSE": ("BSD-3-Clause", 1), "h/y": ("BSD-3-Clause", None), "i/x": ("LGPL-2.1", 1),
     }
     assert all(r["licence"] is None for r in found if r["path"][0] == "z")
+
+
+def test_documents_with_letters_stay_where_no_language_is_labelled(spark):
+    docs = spark.createDataFrame([(1, "kola", None), (2, "12 !", None), (3, None, None), (4, "漢字", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(docs).collect()) == [1, 4]
