@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import (
-    byte_bpe, embedding_dedup, jaccard_join, kdtree_shards, language_id, license_scan, page_text, source_mix, topk_search,
-    url_filter,
+    byte_bpe, embedding_dedup, embedding_whitening, jaccard_join, kdtree_shards, language_id, license_scan, page_text,
+    source_mix, topk_search, url_filter,
 )
 from recollect.llm.common import read_table
 
@@ -74,6 +74,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every vector."""
+    return embedding_whitening.whitened_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
