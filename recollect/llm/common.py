@@ -32,6 +32,12 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured_side(df: DataFrame, row_bytes: Column) -> DataFrame | None:
+    """``df`` with a broadcast hint if the sum of its rows' bytes allows one, else None; give a staged table only."""
+    total = df.agg(F.sum(row_bytes.cast("double")).alias("n")).first()["n"] or 0.0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else None
+
+
 def hash_share(key: Column, share: Column | float, seed: int = 0) -> Column:
     """True for about ``share`` of all keys; depends on nothing but the key."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import (
-    byte_bpe, embedding_dedup, embedding_whitening, jaccard_join, kdtree_shards, language_id, license_scan, page_text,
-    source_mix, topk_search, url_filter,
+    byte_bpe, embedding_dedup, embedding_whitening, jaccard_join, kdtree_shards, language_id, license_scan,
+    line_dedup, page_text, source_mix, topk_search, url_filter,
 )
 from recollect.llm.common import read_table
 
@@ -79,6 +79,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whitened_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and dropped lines of every document, and a digest of what stays."""
+    return line_dedup.line_digests(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
@@ -116,6 +121,21 @@ LLM_ORACLE: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 5""",
+    "op12_line_dedup": """
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        placed AS (
+            SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM texts),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed),
+        repeated AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        judged AS (
+            SELECT k.*, r.key IS NOT NULL AND k.doc_id < r.last AS dropped FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id, text""",
     "op7_jaccard_join": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
