@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import (
-    byte_bpe, embedding_dedup, embedding_whitening, jaccard_join, kdtree_shards, language_id, license_scan,
+    byte_bpe, collocations, embedding_dedup, embedding_whitening, jaccard_join, kdtree_shards, language_id, license_scan,
     line_dedup, page_text, source_mix, topk_search, url_filter,
 )
 from recollect.llm.common import read_table
@@ -84,6 +84,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
@@ -136,6 +141,40 @@ LLM_ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
         FROM judged GROUP BY doc_id, text""",
+    "op13_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+        words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+        grams AS (
+            SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM words, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE len(w) >= m),
+        counts AS (SELECT lang, phrase, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+        candidates AS (
+            SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE contains(phrase, ' ')),
+        cuts AS (SELECT *, unnest(range(1, len(w))) AS k FROM candidates),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000 * c.a::HUGEINT) // (l.f + r.f) AS score
+            FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+        lowest AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored)
+            WHERE place = 1),
+        lengths AS (SELECT *, unnest(range(2, len(w))) AS m FROM candidates),
+        inner_phrases AS (
+            SELECT lang, a, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM lengths),
+        longer AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY lang, phrase),
+        kept AS (
+            SELECT s.* FROM lowest s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+            WHERE o.most IS NULL OR 100 * o.most < 80 * s.a),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op7_jaccard_join": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
