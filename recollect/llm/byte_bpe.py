@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bytes of text whose words are merged together, and encoded words that a task remembers.
+from recollect.llm.common import bounded_batches, give_back_memory
+
+# Bytes of text whose words are merged together, and bytes of encoded words that a task remembers.
 CORPUS_BYTES = 3 << 20
-MEMORY_WORDS = 400_000
+MEMORY_BYTES = 48 << 20
 _PAIR = 1 << 32
 # A single space between two other characters. No match of a usual pre-split pattern crosses it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
@@ -44,6 +46,7 @@ class Merges:
         self.early = {*(keys // _PAIR)[ranks <= keys // _PAIR].tolist(), *(keys % _PAIR)[ranks <= keys % _PAIR].tolist()}
         self.words: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of tokens that forms a token, as sorted keys, and its rank."""
@@ -188,12 +191,15 @@ class Merges:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; the words of all texts are merged together."""
         split = [_GAP.split(text or "") for text in texts]
-        if len(self.spaced) + len(self.words) > MEMORY_WORDS:
+        if self.bytes > MEMORY_BYTES:
             self.forget()
         fresh = set()
         for chunks in split:
             fresh.update(chunks[1:])
-        self._learn(fresh.difference(self.spaced))
+        fresh.difference_update(self.spaced)
+        self._learn(fresh)
+        # A chunk is remembered as text and as ids; its words may be, too.
+        self.bytes += 2 * sum(map(len, fresh)) + 160 * len(fresh)
         heads = {chunks[0]: b"" for chunks in split}
         # No space precedes the first chunk of a text.
         found = {head: self.words_of(head) for head in heads}
@@ -210,6 +216,7 @@ class Merges:
         """Drop the remembered words; a worker outlives its task and shouldn't hold them."""
         self.spaced.clear()
         self.words.clear()
+        self.bytes = 0
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -239,8 +246,9 @@ def _mapped(df: DataFrame, column: Column, keep: list[str], out: list[str], work
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
                 start = stop
         forget()
+        give_back_memory()
 
-    done = source.mapInArrow(run, schema)
+    done = bounded_batches(source).mapInArrow(run, schema)
     return done.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)],
         *[F.col(f"_o{i}").alias(name) for i, name in enumerate(out)],

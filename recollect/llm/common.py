@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +16,10 @@ from recollect.operators.staging import scope, stage
 
 # A table is sent to every executor only when its counted rows stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
+# Bytes of text that a task holds as Python objects at a time.
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +49,37 @@ def measured_side(df: DataFrame, row_bytes: Column) -> DataFrame | None:
     return F.broadcast(df) if total <= BROADCAST_BYTES else None
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that limits the bytes of a batch sent to Python: BATCH_BYTES unless it says otherwise.
+
+    Spark's own limit of 64 MB is held several times over by a task and its worker.
+    """
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in a text or binary column hold about ``limit`` bytes; one row may hold more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes.astype(np.int64)) // limit
+    start = 0
+    for stop in [*(np.flatnonzero(np.diff(part) > 0) + 1).tolist(), batch.num_rows]:
+        if stop > start:
+            yield batch.slice(start, stop - start)
+        start = stop
+
+
+def give_back_memory() -> None:
+    """Return what a task freed to the system; a Python worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def hash_share(key: Column, share: Column | float, seed: int = 0) -> Column:
     """True for about ``share`` of all keys; depends on nothing but the key."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import components, hash_share, small_side
+from recollect.llm.common import bounded_batches, components, give_back_memory, hash_share, slices, small_side
 from recollect.llm.vectors import groups, matrix
+from recollect.operators.skew import lookup_join
 from recollect.operators.staging import scope, stage
 
 # Bits of a document's token bitmap in a tree. Sets above WIDE_GRAMS have a second one, with about
@@ -31,7 +32,9 @@ SAMPLE_SHARE = 1 / 32
 SAMPLE_TEXTS = 2048
 SAMPLE_HITS = 2
 SAMPLE_GRAMS = 250_000
-_MEMORY_WORDS = 400_000
+# Bytes of words whose hashes a task remembers, and of texts that it holds as sets at a time.
+_MEMORY_BYTES = 24 << 20
+_SETS_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,17 +44,20 @@ class Shingler:
     def __init__(self, n: int):
         self.n = n
         self.words: dict[bytes, int] = {}
+        self.bytes = 0
 
     def grams(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct hashes of the lower-cased text's n-grams; all words if fewer than n."""
         words = (text or b"").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > _MEMORY_WORDS:
+        if self.bytes > _MEMORY_BYTES:
             self.words.clear()
+            self.bytes = 0
         known = self.words
         for word in set(words).difference(known):
             known[word] = xxhash.xxh3_64_intdigest(word)
+            self.bytes += len(word) + 120
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.n, len(codes))
         mixed = np.full(len(codes) - width + 1, width, np.uint64)
@@ -112,7 +118,7 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: list[int]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, late = Shingler(n), shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, _SETS_BYTES)):
             sizes, same, bits, wide, prefixes = [], [], [], [], []
             for text in batch.column(1):
                 grams = shingler.grams(text.as_py())
@@ -131,8 +137,10 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: list[int]) -> DataFra
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), _lists(bits),
                 pa.array(wide, pa.binary()), _lists(prefixes),
             ], names=schema.names)
+        del shingler
+        give_back_memory()
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -154,7 +162,7 @@ def _frequent(docs: DataFrame, n: int) -> list[int]:
                 )
 
     sample = docs.where(hash_share(F.col("id"), min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(rows, 1)))))
-    counted = sample.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= SAMPLE_HITS)
+    counted = bounded_batches(sample).mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= SAMPLE_HITS)
     return counted.orderBy(F.desc("count"), "gram").limit(SAMPLE_GRAMS).toPandas()["gram"].tolist()
 
 
@@ -223,10 +231,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
     )
     texts = stage(docs.join(small_side(ids, 32), "id", "left_semi"), "texts")
-    # The partner that many pairs may share comes last: its text isn't moved again.
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
-    ).select("a", "text_a", "b", "text_b")
+    # The partner that many pairs may share comes last: its text isn't moved again. A text that
+    # leads very many pairs is repeated for pieces of them.
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+    joined = lookup_join(lookup_join(pairs, side("b"), "b", "inner", ["a"]), side("a"), "a", "inner", ["b"], count_in=pairs)
+    joined = joined.select("a", "text_a", "b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, left = Shingler(n), None, None
@@ -241,7 +250,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                     kept.append(k)
             yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return bounded_batches(joined).mapInArrow(run, "a long, b long")
 
 
 def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +259,8 @@ def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         *[F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "size", "bits", "wide")]
     )
     columns = ["a", "b", *[f"{c}_{name}" for c in ("size", "bits", "wide") for name in "ab"]]
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select(columns)
+    known = lookup_join(lookup_join(pairs, side("b"), "b", "inner", ["a"]), side("a"), "a", "inner", ["b"], count_in=pairs)
+    joined = known.select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import hash_share
+from recollect.llm.common import bounded_batches, give_back_memory, hash_share, slices
 
-# Texts of one language that training may use, and the longest it may use.
+# Bounds of the labelled sample: texts of one language, their bytes and the longest text, and the
+# languages that are learned, the commonest first. Beyond MANY_LANGUAGES each gets fewer texts.
 SAMPLE_TEXTS = 400
+SAMPLE_BYTES = 4 << 20
 SAMPLE_TEXT_BYTES = 1 << 20
+LANGUAGES, MANY_LANGUAGES = 1000, 50
 UNDEFINED = "und"
 # Bytes per window: longer runs of letters are cut, every byte stays in one window.
 WINDOW = 24
-# Words that a task remembers.
-MEMORY_WORDS = 200_000
-# Runs of letters, seen as bytes of lower-cased UTF-8.
+# Bytes of words and their results that a task remembers.
+MEMORY_BYTES = 24 << 20
+# Runs of letters: a-z and everything beyond ASCII, in texts whose A-Z are lower-cased.
 _WORDS = re.compile(rb"[a-z\x80-\xff]+").findall
 
 
@@ -128,7 +131,7 @@ class ByteNetwork:
 
     def word_sums(self, words: list[bytes], batch: int = 2048) -> np.ndarray:
         """For each word the sum of its positions' probabilities, one column per language."""
-        pieces = [(i, word[k:k + WINDOW]) for i, word in enumerate(words) for k in range(0, len(word), WINDOW)]
+        pieces = [(i, piece) for i, word in enumerate(words) for piece in windows(word)]
         pieces.sort(key=lambda piece: len(piece[1]))
         sums = np.zeros((len(words), len(self.languages)), np.float32)
         for k in range(0, len(pieces), batch):
@@ -139,6 +142,20 @@ class ByteNetwork:
         return sums
 
 
+def windows(word: bytes) -> list[bytes]:
+    """A run of letters in pieces of up to WINDOW bytes; no piece begins inside a character."""
+    if len(word) <= WINDOW:
+        return [word]
+    out, start = [], 0
+    while len(word) - start > WINDOW:
+        stop = start + WINDOW
+        while stop > start + WINDOW - 4 and word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(word[start:stop])
+        start = stop
+    return [*out, word[start:]]
+
+
 def _flip(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Reverse each row within its length; what lies behind stays."""
     place = np.arange(rows.shape[1])
@@ -157,10 +174,13 @@ def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(
     texts: dict[str, list[bytes]], width: int = 16, steps: int = 500, batch: int = 384, seed: int = 7
 ) -> ByteNetwork:
-    """Train on words drawn evenly from the languages, by back-propagation through time with Adam."""
+    """Train on pieces of words drawn evenly from the languages, by back-propagation through time with Adam."""
     rng = np.random.default_rng(seed)
     languages = sorted(texts)
-    words = [[w[:WINDOW] for text in texts[lang] for w in _WORDS(text.lower())] or [b" "] for lang in languages]
+    words = [
+        [piece for text in texts[lang] for word in _WORDS(text.lower()) for piece in windows(word)] or [b" "]
+        for lang in languages
+    ]
     net = ByteNetwork.fresh(languages, width, rng)
     if len(languages) < 2:
         return net
@@ -181,18 +201,24 @@ def fit(
 def train(labelled: DataFrame, key: str, sample_texts: int = SAMPLE_TEXTS) -> ByteNetwork | None:
     """Fit a network to columns ``text`` and ``lang``; None without a labelled text.
 
-    About ``sample_texts`` texts of each language are used, chosen by a hash of ``key``, so the
-    driver's share is bounded whatever the table's size. Texts beyond SAMPLE_TEXT_BYTES and
-    without letters are not learned from.
+    About ``sample_texts`` texts of each language are used, fewer where they are long or there are
+    many languages, chosen by a hash of ``key``. LANGUAGES, SAMPLE_BYTES and MANY_LANGUAGES bound
+    the driver's share whatever the table's size. Texts beyond SAMPLE_TEXT_BYTES and without
+    letters are not learned from.
     """
     usable = labelled.select(key, "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     )
-    counts = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = usable.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes")
+    ).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample_texts / n)])
-    rows = usable.where(hash_share(F.col(key), share[F.col("lang")])).select(
+    part = min(1.0, MANY_LANGUAGES / len(counts))
+    shares = {row["lang"]: part * min(sample_texts / row["n"], SAMPLE_BYTES / row["bytes"]) for row in counts}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    chosen = F.coalesce(hash_share(F.col(key), share[F.col("lang")]), F.lit(False))
+    rows = usable.where(chosen).select(
         "lang", F.col("text").cast("binary").alias("text")
     ).collect()
     texts: dict[str, list[bytes]] = {}
@@ -210,21 +236,23 @@ class Reader:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.bytes = 0
         self.sums = np.zeros((0, len(self.net.languages)), np.float32)
         self.sizes = np.zeros(0, np.int64)
 
     def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
         """Mean over all labelled positions of each text, zeros where there are none."""
         found = np.zeros((len(texts), len(self.net.languages)))
-        for start in range(0, len(texts), 500):
-            split = [_WORDS((text or b"").lower()) for text in texts[start:start + 500]]
-            if len(self.place) > MEMORY_WORDS:
+        for start in range(0, len(texts), 100):
+            split = [_WORDS((text or b"").lower()) for text in texts[start:start + 100]]
+            if self.bytes > MEMORY_BYTES:
                 self.forget()
             fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
             if fresh:
                 self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
                 self.sums = np.concatenate([self.sums, self.net.word_sums(fresh)])
                 self.sizes = np.concatenate([self.sizes, [len(w) for w in fresh]])
+                self.bytes += sum(map(len, fresh)) + (120 + 4 * len(self.net.languages)) * len(fresh)
             for k, words in enumerate(split):
                 if words:
                     at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
@@ -237,43 +265,48 @@ def _reader(packed: bytes) -> Reader:
     return Reader(pickle.loads(packed))
 
 
-def with_language(docs: DataFrame, net: ByteNetwork | None, keep: dict[str, Column]) -> DataFrame:
+def with_language(docs: DataFrame, net: ByteNetwork | None, keep: dict[str, Column], text: str | None = None) -> DataFrame:
     """Columns ``keep``, ``lang_pred`` and ``score`` for each row of ``docs``, from its whole ``text``.
 
     Every byte of a run of letters gets a probability per language from the network, which reads
     the run in both directions; the document's probability is their mean, ``lang_pred`` the
     largest (the first by name on ties) and ``score`` that mean. A text that is null or has no
     letter is "und" with score 0, as is every text if there was nothing to learn from. Equal words
-    of a task are run once; nothing is shuffled.
+    of a task are run once; nothing is shuffled. ``text`` names a column that returns the text
+    itself, which crosses to Python only once.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     source = docs.select(
         *[column.alias(f"_k{i}") for i, column in enumerate(keep.values())],
-        F.when(letters, F.col("text").cast("binary")).alias("_in"),
+        letters.alias("_letters"), F.col("text").alias("_in"),
     )
     names = [F.col(f"_k{i}").alias(name) for i, name in enumerate(keep)]
+    names += [F.col("_in").alias(text)] if text else []
     if net is None:
         return source.select(*names, F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     packed, languages = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net)), net.languages
+    fields = source.schema.fields
     schema = T.StructType([
-        *source.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()),
+        *fields[:-2], *(fields[-1:] if text else []), T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            probability = _reader(packed.value).probabilities(texts)
-            best = probability.argmax(axis=1)
-            score = probability[np.arange(len(texts)), best]
-            lang = [languages[k] if text is not None else UNDEFINED for k, text in zip(best, texts)]
-            score = np.where([text is not None for text in texts], np.clip(score, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names[:-1], "_lang", "_score"],
-            )
-        _reader(packed.value).forget()  # a worker outlives its task
-
-    found = source.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole, whole.num_columns - 1):
+                given, has = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2).to_pylist()
+                texts = [x if known else None for x, known in zip(given.cast(pa.binary()).to_pylist(), has)]
+                probability = _reader(packed.value).probabilities(texts)
+                best = probability.argmax(axis=1)
+                lang = [languages[k] if known else UNDEFINED for k, known in zip(best, has)]
+                score = np.where(has, np.clip(probability[np.arange(len(best)), best], 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-2], *([given] if text else []), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=schema.names,
+                )
+        _reader(packed.value).forget()
+        give_back_memory()
+
+    found = bounded_batches(source).mapInArrow(run, schema)
     return found.select(*names, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
@@ -298,6 +331,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     net = train(docs.where(~held_out() & F.col("doc_id").isNotNull()), "doc_id")
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = with_language(docs, net, {f"c{i}": docs[name] for i, name in enumerate(docs.columns)})
+    others = {f"c{i}": docs[name] for i, name in enumerate(docs.columns) if name != "text"}
+    found = with_language(docs, net, others, "text")
     known = found.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least_score))
-    return known.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+    return known.select(*["text" if name == "text" else F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])

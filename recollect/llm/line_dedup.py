@@ -9,22 +9,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import measured_side
+from recollect.llm.common import bounded_batches, measured_side, slices
 from recollect.operators.skew import lookup_join
 from recollect.operators.staging import scope, stage
 
 # Code points of a key, and documents that hold it, from which its lines are repeats.
 LEAST_LENGTH = 40
 LEAST_DOCUMENTS = 5
-# Bytes of text that a task holds as Python objects at a time.
-SLICE_BYTES = 4 << 20
 # Stripped from both ends of a line.
 _BLANK = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -34,17 +31,6 @@ _DOCUMENT = ["known", "doc", "version"]
 _DECIDED, _FIRST, _LAST = 0, 1, 2
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose values in a binary column hold about ``limit`` bytes."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes.astype(np.int64)) // limit
-    start = 0
-    for stop in [*(np.flatnonzero(np.diff(part) > 0) + 1).tolist(), batch.num_rows]:
-        if stop > start:
-            yield batch.slice(start, stop - start)
-        start = stop
-
-
 def line_keys(text: bytes, least: int = LEAST_LENGTH) -> dict[bytes, list[int]]:
     """Keys of at least ``least`` code points and the numbers of the lines that have them."""
     found: dict[bytes, list[int]] = {}
@@ -79,7 +65,7 @@ def _hashed(docs: DataFrame, least: int) -> DataFrame:
                     pa.array(places, pa.list_(pa.int32())),
                 ], names=schema.names)
 
-    return docs.select(*_DOCUMENT, "text").mapInArrow(run, schema)
+    return bounded_batches(docs.select(*_DOCUMENT, "text")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -324,7 +310,7 @@ def _applied(docs: DataFrame, bitmaps: DataFrame, out: str, made) -> DataFrame:
                     pa.array([row[2] for row in rows], pa.int64()), pa.array([made(row[0]) for row in rows], pa.string()),
                 ], names=schema.names)
 
-    return source.mapInArrow(run, schema).withColumnRenamed("out", out)
+    return bounded_batches(source).mapInArrow(run, schema).withColumnRenamed("out", out)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
