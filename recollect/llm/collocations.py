@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.line_dedup import slices
+from recollect.llm.common import SLICE_BYTES, bounded_batches, give_back_memory, slices
 from recollect.operators.skew import lookup_join
 from recollect.operators.staging import scope, stage
 
@@ -32,20 +32,30 @@ FILTER_BITS = (1 << 16, 1 << 27)
 TILE = 256
 DENSE = TILE * TILE // 8
 # Words that a task counts together, and bytes of words without a rank that it remembers.
-FLUSH_WORDS = 2_000_000
-MEMORY_BYTES = 32 << 20
+FLUSH_WORDS = 3_000_000
+MEMORY_BYTES = 64 << 20
+SLICE_ROWS = 50_000
 UNDEFINED = "und"
 _BREAK = b"\xff"  # occurs in no UTF-8 text
 _MAP = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 10
 )
 _ODD, _FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_ALL = (1 << 64) - 1
+_ALL, _TAIL = (1 << 64) - 1, (1 << 32) - 1
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words of a text, with a break between the pieces it falls into."""
-    return text.translate(_MAP).replace(_BREAK, b" \xff ").split()
+def words_of(text: bytes) -> pa.DictionaryArray:
+    """Lower-cased words of a text, with a break as a word of its own between the pieces it falls into."""
+    raw = np.frombuffer(text.translate(_MAP), np.uint8)
+    blank, cut = raw == 32, raw == 255
+    begins = cut.copy()
+    begins[:1] = True
+    begins[1:] |= blank[:-1] | cut[:-1]
+    starts = np.flatnonzero(begins[~blank]).astype(np.int32)
+    letters = raw[~blank]
+    offsets = np.append(starts, np.int32(len(letters)))
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    return found.dictionary_encode()
 
 
 def extended(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -108,6 +118,7 @@ class PhraseCounter:
 
     def __init__(self, levels: list[Level]):
         self.levels = levels
+        self.filter = memoryview(levels[0].filter) if levels else None
         places = [{unit: k + 1 for k, unit in enumerate(level.ranked)} for level in levels]
         self.pairs, self.hashes = [], []
         for depth, level in enumerate(levels):
@@ -142,7 +153,8 @@ class PhraseCounter:
         self.bytes += len(word) + 100
         if self.levels:
             hashed = word_hash(lang, word)
-            if not self.levels[0].may_have(np.array([hashed], np.uint64))[0]:
+            place = hashed % (64 * len(self.filter))
+            if not self.filter[place >> 6] >> (place & 63) & 1:
                 return 0
             self.fresh.append(hashed)
         self.langs.append(lang)
@@ -150,13 +162,18 @@ class PhraseCounter:
         return len(self.names) - 1
 
     def add(self, lang: str, text: bytes) -> None:
-        words = words_of(text)
-        self.sequence.append(np.fromiter(map(self.of(lang).__getitem__, words), np.int64, len(words)))
+        """Append a text, or several with a break between them."""
+        found = words_of(text)
+        _, ends, letters = found.dictionary.buffers()
+        ends, letters = np.frombuffer(ends, np.int32)[:len(found.dictionary) + 1].tolist(), letters.to_pybytes()
+        distinct = [letters[a:b] for a, b in zip(ends, ends[1:])]
+        ids = np.fromiter(map(self.of(lang).__getitem__, distinct), np.int64, len(distinct))
+        self.sequence.append(ids[found.indices.to_numpy()])
         self.sequence.append(np.zeros(1, np.int64))
-        self.length += len(words) + 1
+        self.length += len(found) + 1
 
-    def counts(self) -> tuple[list[str], list[bytes | None], np.ndarray]:
-        """Language, phrase and occurrences of what was added since the last call.
+    def counts(self) -> Iterator[tuple[list[str], list[bytes | None], np.ndarray]]:
+        """Language, phrase and occurrences of what was added since the last call, in slices.
 
         Single words come with the number of all words of each language, under no phrase.
         """
@@ -164,22 +181,27 @@ class PhraseCounter:
         self.sequence, self.length = [], 0
         if not self.levels:
             times = np.bincount(words, minlength=len(self.names))
-            at = np.flatnonzero(times)
-            at = at[at > 0]
-            found = Counter()
-            for k, n in zip(at.tolist(), times[at].tolist()):
+            keys = np.flatnonzero(times)
+            keys = keys[keys > 0]
+            times = times[keys]
+            found: Counter[str] = Counter()
+            for k, n in zip(keys.tolist(), times.tolist()):
                 found[self.langs[k]] += n
-            out = (
-                [*found, *(self.langs[k] for k in at)], [*[None] * len(found), *(self.names[k] for k in at)],
-                np.array([*found.values(), *times[at].tolist()], np.int64),
-            )
+            yield [*found], [None] * len(found), np.array([*found.values()], np.int64)
+            names = []
         else:
-            out = self._phrases(words)
+            keys, times, names = self._phrases(words)
+        del words
+        for k in range(0, len(keys), SLICE_ROWS):
+            part = keys[k:k + SLICE_ROWS]
+            langs = [self.langs[k] for k in (part & _TAIL).tolist()]
+            phrases = self._joined(part, names) if self.levels else [self.names[k] for k in part.tolist()]
+            yield langs, phrases, times[k:k + SLICE_ROWS]
         if self.bytes > MEMORY_BYTES:
             self.forget()
-        return out
 
-    def _phrases(self, words: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
+    def _phrases(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Pairs of a unit and the word behind it, their occurrences, and the names of the units."""
         word_hashes = np.concatenate([self.hashes[0], np.array(self.fresh, np.uint64)])
         units, hashes, names = words, word_hashes, self.names
         for depth in range(1, len(self.levels)):
@@ -189,22 +211,19 @@ class PhraseCounter:
             known, numbers = self.pairs[depth]
             place = np.searchsorted(known[:-1], keys)
             number = np.where(known[place] == keys, numbers[place], 0)
-            made = extended(hashes[keys >> 32], word_hashes[keys & 0xFFFFFFFF])
-            unranked = (number == 0) & level.may_have(made)
-            new = np.flatnonzero(unranked)
-            ranked = len(level.ranked)
-            number[new] = ranked + 1 + np.arange(len(new))
+            made = extended(hashes[keys >> 32], word_hashes[keys & _TAIL])
+            new = np.flatnonzero((number == 0) & level.may_have(made))
+            number[new] = len(level.ranked) + 1 + np.arange(len(new))
             hashes = np.concatenate([self.hashes[depth], made[new]])
             names = [b"", *(phrase for _, phrase in level.ranked), *self._joined(keys[new], names)]
             units = np.zeros(len(words), np.int64)
             units[at] = number[back]
         _, heads, tails = _neighbours(units, words, len(self.levels))
-        keys, times = count_pairs(heads, tails, len(self.levels[-1].ranked), len(self.levels[0].ranked))
-        return [self.langs[k] for k in (keys & 0xFFFFFFFF).tolist()], self._joined(keys, names), times
+        return *count_pairs(heads, tails, len(self.levels[-1].ranked), len(self.levels[0].ranked)), names
 
     def _joined(self, keys: np.ndarray, names: list[bytes]) -> list[bytes]:
         words = self.names
-        return [names[a] + b" " + words[b] for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())]
+        return [names[a] + b" " + words[b] for a, b in zip((keys >> 32).tolist(), (keys & _TAIL).tolist())]
 
 
 def _neighbours(units: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,23 +266,25 @@ def _counted(texts: DataFrame, levels: list[Level]) -> DataFrame:
         counter = PhraseCounter(shared.value)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            langs, phrases, times = counter.counts()
-            for k in range(0, len(langs), 100_000):
+            for langs, phrases, times in counter.counts():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(langs[k:k + 100_000], pa.string()), pa.array(phrases[k:k + 100_000], pa.binary()),
-                    pa.array(times[k:k + 100_000], pa.int64()),
+                    pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(times, pa.int64()),
                 ], names=["lang", "phrase", "n"])
 
         for whole in batches:
-            for batch in slices(whole, 1):
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    counter.add(lang, text.as_py())
+            for batch in slices(whole, 1, 2 * SLICE_BYTES):
+                texts_of: dict[str, list[bytes]] = {}
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    texts_of.setdefault(lang, []).append(text)
+                for lang, found in texts_of.items():
+                    counter.add(lang, _BREAK.join(found))
                     if counter.length >= FLUSH_WORDS:
                         yield from flush()
         if counter.length:
             yield from flush()
+        give_back_memory()
 
-    parts = texts.mapInArrow(run, "lang string, phrase binary, n long")
+    parts = bounded_batches(texts).mapInArrow(run, "lang string, phrase binary, n long")
     return parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
 
 
