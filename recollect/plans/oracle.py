@@ -128,35 +128,60 @@ def _pool(source: str, logit: str = "0", weight: str = _SOFTMAX) -> str:
 _ATTENTION = "d + cos / 0.1 + d * (cos / 0.1)"
 
 
-def _features(ablate: bool) -> str:
-    def sums(name: str, source: str, logit: str, weight: str) -> str:
+def _features(ablate: bool = False, source: str = "found", views: str = "") -> str:
+    """Three moments of each of the six vector features; ``source`` has ten chosen entries a sample."""
+
+    def pooled(name: str, source: str, logit: str, weight: str) -> str:
         views = _POOL_VIEWS.format(source=source, logit=logit, weight=weight)
-        return f"{name} AS (SELECT row_no, sum(x) AS x FROM ({views} SELECT * FROM dims) GROUP BY row_no)"
+        return f"{name} AS ({views} SELECT row_no, sum(x) AS t, sum(x * j) AS w, sum(x * x) AS s FROM dims GROUP BY row_no)"
 
     def tiers(name: str, source: str) -> str:
-        return f"""{name} AS (SELECT row_no, sum(ln(n + 1)) AS x FROM (SELECT row_no, ceil(cos * 10) AS t,
-            count(*) AS n FROM {source} GROUP BY ALL) GROUP BY row_no)"""
-
-    def out(name: str, long: bool) -> str:
-        return f"0.0::DOUBLE AS {name}" if long and ablate else f"round(coalesce({name}.x, 0), 6) AS {name}"
-
-    parts = ",\n".join([
-        sums("mean_top", "found", "0", "0.1::DOUBLE"),
-        sums("attention_top", "found", _ATTENTION, _SOFTMAX),
-        sums("mean_recent", _RECENT, "0", "0.1::DOUBLE"),
-        tiers("tiers_top", "found"), tiers("tiers_recent", _RECENT),
-    ])
-    joins = " ".join(
-        f"LEFT JOIN {n} ON {n}.row_no = s.row_no"
-        for n in ("mean_top", "attention_top", "mean_recent", "tiers_top", "tiers_recent")
+        return f"""{name} AS (SELECT row_no, sum(ln(n + 1)) AS t, sum(ln(n + 1) * (tier + 1)) AS w, sum(ln(n + 1) * ln(n + 1)) AS s
+            FROM (SELECT row_no, ceil(cos * 10) + 10 AS tier, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY row_no)"""
+
+    names = {
+        "mean_top": pooled("mean_top", source, "0", "0.1::DOUBLE"),
+        "attention_top": pooled("attention_top", source, _ATTENTION, _SOFTMAX),
+        "mean_recent": pooled("mean_recent", _RECENT, "0", "0.1::DOUBLE"),
+        "attention_recent": pooled("attention_recent", _RECENT, "d", _SOFTMAX),
+        "tiers_top": tiers("tiers_top", source), "tiers_recent": tiers("tiers_recent", _RECENT),
+    }
+    columns = ", ".join(
+        f"0.0::DOUBLE AS {n}_{kind}" if ablate and n.endswith("_top") else f"round(coalesce({n}.{kind[0]}, 0) + 1e-6 / 3, 6) AS {n}_{kind}"
+        for n in names for kind in ("total", "weighted", "square")
     )
-    return f"""WITH {parts}
-        SELECT {_KEY}, label, s.uid, u1, u2, u3, u4, u5, s.iid, cate, i1, i2, {out("mean_top", True)},
-            {out("attention_top", True)}, {out("tiers_top", True)}, {out("mean_recent", False)},
-            {out("tiers_recent", False)}
+    joins = " ".join(f"LEFT JOIN {n} ON {n}.row_no = s.row_no" for n in names)
+    return f"""WITH {views}{", ".join(names.values())}
+        SELECT {_KEY}, label, s.uid, u1, u2, u3, u4, u5, s.iid, cate, i1, i2, {columns}
         FROM samples s JOIN customers USING (uid) JOIN items USING (iid) {joins}"""
 
 
+_SOFT_VIEWS = """parts AS (SELECT cate, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vec JOIN items USING (iid)),
+    sums AS (SELECT cate, d, sum(x) AS s FROM parts GROUP BY ALL),
+    tops AS (SELECT cate, max(abs(s)) AS m FROM sums GROUP BY cate),
+    cvec AS (SELECT cate, list(CASE WHEN m = 0 THEN 0.0 ELSE trunc(s * CAST(127 AS DOUBLE) / m) END ORDER BY d) AS v
+        FROM sums JOIN tops USING (cate) GROUP BY cate),
+    soft_pairs AS (SELECT s.*, p.pos, p.item, p.cate,
+        coalesce(list_dot_product(ti.v, ki.v), 0) + coalesce(list_dot_product(tc.v, kc.v), 0) AS dot,
+        coalesce(list_dot_product(ti.v, ti.v), 0) + coalesce(list_dot_product(tc.v, tc.v), 0) AS nq,
+        coalesce(list_dot_product(ki.v, ki.v), 0) + coalesce(list_dot_product(kc.v, kc.v), 0) AS nk
+        FROM samples s LEFT JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
+        LEFT JOIN vec ti ON ti.iid = s.iid LEFT JOIN cvec tc ON tc.cate = i.cate
+        LEFT JOIN vec ki ON ki.iid = p.item LEFT JOIN cvec kc ON kc.cate = p.cate),
+    soft_cos AS (SELECT *, CASE WHEN dot = 0 THEN 0 ELSE dot / sqrt(nq * nk) END AS cos FROM soft_pairs),
+    soft_found AS (SELECT *, row_number() OVER (PARTITION BY row_no
+        ORDER BY CASE WHEN dot = 0 THEN -1.1 ELSE cos END DESC, pos DESC) AS rank FROM soft_cos)"""
+
+# What the soft search finds, and the matches of the hard search filled up to ten, with content cosines.
+_SOFT_PICKS = f"""{_SOFT_VIEWS},
+    soft_picks AS (SELECT c.* FROM cosines c JOIN soft_found f ON f.row_no = c.row_no AND f.pos = c.pos WHERE f.rank <= 10), """
+_HARD_PICKS = """hard_ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.row_no ORDER BY c.pos DESC) AS rank
+        FROM cosines c JOIN items i USING (iid) WHERE c.cate = i.cate),
+    hard_picks AS (SELECT s.row_no, r.item, coalesce(r.dot, 0) AS dot, coalesce(r.cos, 0) AS cos
+        FROM samples s CROSS JOIN (SELECT unnest(range(1, 11)) AS rank) g
+        LEFT JOIN hard_ranked r ON r.row_no = s.row_no AND r.rank = g.rank), """
+
+
 _PAIR_COUNTS = """groups AS (SELECT {by}score, sum(label) AS pos, sum(1 - label) AS neg
         FROM {source} GROUP BY {by}score),
     below AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY score
@@ -330,21 +355,7 @@ ORACLE: dict[str, str] = {
             round(count(*) FILTER (WHERE has) / (count(*) FILTER (WHERE id <> 0))::DOUBLE, 6) AS rate_without_padding
         FROM marked GROUP BY part"""),
     "search_content": _with("found", _entries("found")),
-    "search_soft": _with("samples items padded vec", f"""WITH parts AS (SELECT cate, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vec JOIN items USING (iid)),
-        sums AS (SELECT cate, d, sum(x) AS s FROM parts GROUP BY ALL),
-        tops AS (SELECT cate, max(abs(s)) AS m FROM sums GROUP BY cate),
-        cvec AS (SELECT cate, list(CASE WHEN m = 0 THEN 0.0 ELSE trunc(s * CAST(127 AS DOUBLE) / m) END ORDER BY d) AS v
-            FROM sums JOIN tops USING (cate) GROUP BY cate),
-        soft_pairs AS (SELECT s.*, p.pos, p.item, p.cate,
-            coalesce(list_dot_product(ti.v, ki.v), 0) + coalesce(list_dot_product(tc.v, kc.v), 0) AS dot,
-            coalesce(list_dot_product(ti.v, ti.v), 0) + coalesce(list_dot_product(tc.v, tc.v), 0) AS nq,
-            coalesce(list_dot_product(ki.v, ki.v), 0) + coalesce(list_dot_product(kc.v, kc.v), 0) AS nk
-            FROM samples s LEFT JOIN items i USING (iid) JOIN padded p ON p.uid = s.uid
-            LEFT JOIN vec ti ON ti.iid = s.iid LEFT JOIN cvec tc ON tc.cate = i.cate
-            LEFT JOIN vec ki ON ki.iid = p.item LEFT JOIN cvec kc ON kc.cate = p.cate),
-        soft_cos AS (SELECT *, CASE WHEN dot = 0 THEN 0 ELSE dot / sqrt(nq * nk) END AS cos FROM soft_pairs),
-        soft_found AS (SELECT *, row_number() OVER (PARTITION BY row_no
-            ORDER BY CASE WHEN dot = 0 THEN -1.1 ELSE cos END DESC, pos DESC) AS rank FROM soft_cos)
+    "search_soft": _with("samples items padded vec", f"""WITH {_SOFT_VIEWS}
         {_entries("soft_found")} WHERE rank <= 10"""),
     "search_hard": _with("samples items padded", f"""WITH matches AS (SELECT s.row_no, p.item, p.cate,
             row_number() OVER (PARTITION BY s.row_no ORDER BY p.pos DESC) AS rank
@@ -363,8 +374,10 @@ ORACLE: dict[str, str] = {
     "mean_pool": _with("found", _pool("found", weight="0.1::DOUBLE")),
     "attention_pool": _with("found", _pool("found", _ATTENTION)),
     "attention_pool_plain": _with("found", _pool(_RECENT, "d")),
-    "feature_table": _with("found customers items", _features(False)),
+    "feature_table": _with("found customers items", _features()),
     "feature_table_ablated": _with("found customers items", _features(True)),
+    "feature_table_soft": _with("cosines customers items", _features(source="soft_picks", views=_SOFT_PICKS)),
+    "feature_table_hard": _with("cosines customers items", _features(source="hard_picks", views=_HARD_PICKS)),
     "auc": _with("scores", f"""WITH {_pair_counts()} SELECT round(sum(pos * neg_below) / (sum(pos) * sum(neg))::DOUBLE, 6)
             AS auc, sum(pos)::BIGINT AS p, sum(neg)::BIGINT AS n, sum(pos * neg_below)::BIGINT AS wins FROM below"""),
     "gauc": _with("scores", f"""WITH {_pair_counts("uid")}, {_USERS.format(by="")}

@@ -349,15 +349,15 @@ def similarity_summary(spark, sf):
     )
 
 
-def _moments(name: str) -> list[Column]:
-    """Sum, position-weighted sum and squared length of a pooled vector."""
+def _moments(name: str, shift: float = 0.0) -> list[Column]:
+    """Sum, position-weighted sum and squared length of a pooled vector, each plus ``shift``."""
     v = F.col(name)
     weighted = F.transform(v, lambda x, i: x * (i + 1))
     zero = F.lit(0.0)
     return [
-        r6(F.aggregate(v, zero, lambda a, x: a + x), "total"),
-        r6(F.aggregate(weighted, zero, lambda a, x: a + x), "weighted"),
-        r6(F.aggregate(v, zero, lambda a, x: a + x * x), "square"),
+        r6(F.aggregate(v, zero, lambda a, x: a + x) + shift, "total"),
+        r6(F.aggregate(weighted, zero, lambda a, x: a + x) + shift, "weighted"),
+        r6(F.aggregate(v, zero, lambda a, x: a + x * x) + shift, "square"),
     ]
 
 
@@ -376,21 +376,28 @@ def attention_pool_plain(spark, sf):
     return _found(spark, sf, True).select(*key(), *_moments("attention_recent"))
 
 
+VECTOR_FEATURES = ("mean_top", "attention_top", "mean_recent", "attention_recent", "tiers_top", "tiers_recent")
+
+
 def _features(spark, sf, method: str) -> DataFrame:
+    soft = {
+        "item_vectors": V.quantised(spark, sf), "cate_vectors": V.category_vectors(spark, sf),
+        "item_width": V.WIDTH, "cate_width": V.WIDTH,
+    }
     return FE.feature_table(
         V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid", "label"), stored_users(spark, sf),
         V.items(spark, sf), V.quantised(spark, sf), method, V.TOP, V.MAX_LEN, V.SHORT, POOLING,
-        V.WIDTH,
+        V.WIDTH, **(soft if R.METHODS[method] == "soft" else {}),
     )
 
 
 def _feature_rows(features: DataFrame) -> DataFrame:
-    def total(name: str) -> Column:
-        return r6(F.aggregate(F.col(name), F.lit(0.0), lambda a, x: a + x), name)
-
+    # Equal attention weights are 0.1 + 1e-7, so sums may end in exactly half of the last digit; a
+    # third of it keeps them off that edge, where the order of addition would decide.
+    moments = zip(("total", "weighted", "square"), zip(*[_moments(c, 1e-6 / 3) for c in VECTOR_FEATURES]))
     return features.select(
         *key(), big("label"), "uid", *S.USER_ATTRIBUTES, *S.ITEM_COLUMNS,
-        *[total(c) for c in ("mean_top", "attention_top", "tiers_top", "mean_recent", "tiers_recent")],
+        *[value.alias(f"{c}_{kind}") for kind, values in moments for c, value in zip(VECTOR_FEATURES, values)],
     )
 
 
@@ -404,10 +411,20 @@ def feature_table_ablated(spark, sf):
     return _feature_rows(_features(spark, sf, "din"))
 
 
+@query
+def feature_table_soft(spark, sf):
+    return _feature_rows(_features(spark, sf, "soft"))
+
+
+@query
+def feature_table_hard(spark, sf):
+    return _feature_rows(_features(spark, sf, "hard"))
+
+
 @query
 def baseline_score(spark, sf):
     """Scores of a linear click model fitted on the feature table."""
-    vectors = ["mean_top", "attention_top", "mean_recent", "attention_recent", "tiers_top", "tiers_recent"]
+    vectors = list(VECTOR_FEATURES)
     features = stage(_features(spark, sf, "content"), "features")
     model = FE.fit_baseline(features, vectors, max_iter=10)
     return FE.score_baseline(model, features, vectors).select(*key(), "uid", "label", r6(F.col("score"), "score"))
