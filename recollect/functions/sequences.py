@@ -28,15 +28,16 @@ def _list_or_empty(name: str) -> Column:
 def fit_histories(df: DataFrame, max_len: int = S.MAX_SEQ_LEN) -> DataFrame:
     """Cut both behaviour lists to their newest ``max_len`` entries and pad them on the left.
 
-    The item list decides cut and padding for both lists. A NULL list counts as empty.
+    Rows whose lists differ in length have no valid pairs and are left out; ``split_misaligned``
+    returns them. A NULL list counts as empty.
     """
+    aligned = split_misaligned(df)[0]
     items, cates = _list_or_empty("hist_items"), _list_or_empty("hist_cates")
-    size = F.size(items)
-    kept = F.least(size, F.lit(max_len))
-    return df.withColumns({
-        "hist_items": pad_left(keep_last(items, max_len), max_len, kept),
-        "hist_cates": pad_left(keep_last(cates, max_len, size), max_len, kept),
-    })
+    entries = keep_last(F.arrays_zip(items.alias("item"), cates.alias("cate")), max_len)
+    return aligned.withColumn("_entries", entries).withColumns({
+        "hist_items": pad_left(F.col("_entries.item"), max_len),
+        "hist_cates": pad_left(F.col("_entries.cate"), max_len),
+    }).drop("_entries")
 
 
 def add_short(df: DataFrame, n: int = S.SHORT_LEN) -> DataFrame:

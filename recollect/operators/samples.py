@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect import schema as S
+from recollect.operators.feed import number_by_place
 from recollect.operators.skew import HOT_ROWS, lookup_join
 
 
 def split_tables(mode: str) -> tuple[str, str, str]:
     """Names of the sample, user and item tables of a split."""
     if mode not in S.SPLIT_TABLES:
-        raise ValueError("mode must be 'train' or 'test'")
+        raise ValueError(f"no split is named {mode!r}; there are {', '.join(S.SPLIT_TABLES)}")
     return S.SPLIT_TABLES[mode]
 
 
@@ -41,16 +42,20 @@ def build_samples(
 
 
 def load_and_build(
-    spark: SparkSession, input_dir: str, mode: str, keep: tuple[str, ...] = ()
+    spark: SparkSession, input_dir: str, mode: str, keep: tuple[str, ...] = (), rows_per_shard: int | None = None
 ) -> DataFrame:
     """Joined samples of a split from the stored tables of ``input_dir``.
 
-    ``keep`` may name ``row_file`` and ``row_pos``, the place of each row in the sample files.
+    ``keep`` may name ``row_file`` and ``row_pos``, the place of each row in the sample files, and,
+    with ``rows_per_shard``, the ``row_no`` and ``shard_no`` that follow from it. Samples are
+    numbered while they are narrow, before they are joined.
     """
     from recollect.sources.tables import read_typed, with_row_place
 
     sample_name, user_name, item_name = split_tables(mode)
     samples = S.to_readable(with_row_place(spark, f"{input_dir}/{sample_name}.parquet"))
+    if rows_per_shard:
+        samples = number_by_place(samples, rows_per_shard)
     users = read_typed(
         spark, f"{input_dir}/{user_name}.parquet", [*S.USER_COLUMNS, *S.HISTORY_COLUMNS]
     )

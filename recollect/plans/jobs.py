@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.operators import frequency as FR
 from recollect.operators import vocabulary as VO
-from recollect.operators.samples import load_and_build
+from recollect.operators.samples import load_and_build, split_tables
 from recollect.sources import sinks, tables, text
 
 
@@ -39,25 +37,30 @@ def build_statistics(spark: SparkSession, input_dir: str, output_dir: str) -> No
     )
 
 
+def split_rows(
+    spark: SparkSession, input_dir: str, mode: str, rows_per_shard: int = S.ROWS_PER_SHARD
+) -> tuple[DataFrame, int]:
+    """Joined rows of a split with ``row_no`` and ``shard_no``, and the number of shards."""
+    rows = load_and_build(spark, input_dir, mode, ("row_no", "shard_no"), rows_per_shard)
+    samples = spark.read.parquet(f"{input_dir}/{split_tables(mode)[0]}.parquet")
+    return rows, -(-samples.count() // rows_per_shard)
+
+
 def prepare_split(
     spark: SparkSession,
     input_dir: str,
     output_dir: str,
     mode: str,
     rows_per_shard: int = S.ROWS_PER_SHARD,
-    order: Sequence[str] = ("row_file", "row_pos"),
 ) -> DataFrame:
     """Join a split's samples to their features and write them as shards with a sidecar.
 
-    Shards follow the order of the sample files; a row's place there also tells copies of one
-    row apart. Returns the sidecar.
+    Shards follow the order of the sample files. The joined rows are moved once, straight to the
+    task of their shard. Returns the sidecar.
     """
-    rows = load_and_build(spark, input_dir, mode, keep=("row_file", "row_pos"))
-    numbered = sinks.feed.shard_numbers(rows, order, rows_per_shard)
     path = f"{output_dir}/{mode}"
-    sinks.write_planned_shards(
-        S.to_source(numbered.drop("row_file", "row_pos")), path, "row_no"
-    )
+    rows, shards = split_rows(spark, input_dir, mode, rows_per_shard)
+    sinks.write_planned_shards(S.to_source(rows), path, "row_no", (0, shards))
     sinks.name_shards(spark, path, mode)
     shards = tables.read_shards(spark, path, mode)
     written = shards.select(*S.SAMPLE_COLUMNS, "shard_file")
@@ -79,5 +82,5 @@ def even_out_tail(
         "row_no", F.col("rows_before") + F.col("row_in_shard")
     ).drop("shard_file", "row_in_shard", "rows_before")
     even = sinks.feed.rebalance(placed, (), n_parts, start_index, row_no="row_no")
-    sinks.write_planned_shards(S.to_source(even), output_dir, "row_no")
+    sinks.write_planned_shards(S.to_source(even), output_dir, "row_no", (start_index, n_parts + 1))
     sinks.name_shards(spark, output_dir, mode)

@@ -261,6 +261,14 @@ _LINES = """WITH src AS (SELECT p_partkey + 1 AS iid, p_size AS s,
         regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS brand FROM part),
     flags AS (SELECT *, s = 7 AS blank, s % 5 = 0 AS short, s % 5 <> 0 AND s % 2 <> 0 AS bad FROM src)"""
 
+def _split(placed: str) -> str:
+    """Rows of a split by shard file and place in it, with all features."""
+    return f"""WITH placed AS ({placed})
+        SELECT printf('train-shard-%06d.parquet', shard::BIGINT) AS shard_file, place::BIGINT AS row_in_shard, label, p.uid,
+            u1, u2, u3, u4, u5, p.iid, cate, i1, i2, coalesce(l.hist_items, '') AS hist_items
+        FROM placed p JOIN customers USING (uid) JOIN items USING (iid) LEFT JOIN lists l ON l.uid = p.uid"""
+
+
 ORACLE: dict[str, str] = {
     "hard_match_counts": _with("samples items padded", f"""SELECT {_KEY}, s.uid, s.iid, i.cate,
             least(count(*) FILTER (WHERE p.cate = i.cate), 10)::BIGINT AS n_match,
@@ -274,6 +282,10 @@ ORACLE: dict[str, str] = {
         FROM samples s LEFT JOIN customers c ON c.uid = s.uid LEFT JOIN lists l ON l.uid = s.uid
         LEFT JOIN items i ON i.iid = s.iid"""),
     "pad_truncate": _with("padded", "SELECT uid, pos, item, cate FROM padded"),
+    "misaligned_lists": _with("hist", """WITH sized AS (SELECT uid, max(n) AS n, max(n) - uid % 3 AS m,
+            arg_max(item, i) AS newest, arg_max(cate, i) FILTER (i < n - uid % 3) AS cate FROM hist WHERE n > 2 GROUP BY uid)
+        SELECT uid, CASE WHEN n = m THEN 'fitted' ELSE 'rejected' END AS kind, CASE WHEN n = m THEN 40 ELSE n END AS n_items,
+            CASE WHEN n = m THEN 40 ELSE m END AS n_cates, newest AS newest_item, cate AS newest_cate FROM sized"""),
     "short_seq": _with(
         "padded", "SELECT uid, pos - 30 AS pos, item, cate, item AS content_key FROM padded WHERE pos >= 30"
     ),
@@ -429,6 +441,10 @@ ORACLE: dict[str, str] = {
     "sharded_sink": _with("samples", """SELECT printf('train-shard-%06d.parquet', row_no // 500) AS shard_file,
             count(*) AS n_rows, min(orderkey) AS first_order, max(orderkey) AS last_order, count(*) AS positions
         FROM samples GROUP BY ALL"""),
+    "split_shards": _with("samples customers items lists", _split("SELECT *, row_no // 500 AS shard, row_no % 500 AS place FROM samples")),
+    "split_tail": _with("samples customers items lists", _split("""
+        SELECT *, 8 + least(n // each, 8) AS shard, n - least(n // each, 8) * each AS place
+        FROM (SELECT *, row_no - 4000 AS n, (count(*) OVER ()) // 8 AS each FROM samples WHERE row_no >= 4000)""")),
     "shard_metadata": _with("samples", """SELECT 'train' AS mode, count(*) AS total_rows,
             count(DISTINCT row_no // 500) AS num_shards, count(*) // (64 * 8) AS steps FROM samples"""),
     "freq_roundtrip": _with("freq_list", "SELECT * FROM freq_list"),

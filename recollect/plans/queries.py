@@ -21,6 +21,7 @@ from recollect.operators import samples as SA
 from recollect.operators import search as R
 from recollect.operators import vocabulary as VO
 from recollect.operators.staging import new_path, stage
+from recollect.plans import jobs
 from recollect.plans import views as V
 from recollect.sources import sinks, tables, text
 from recollect.streaming import shards as ST
@@ -28,6 +29,7 @@ from recollect.streaming import shards as ST
 ROWS_PER_SHARD, FEED_ROWS, WORLD, WORKERS, BATCH = 500, 100, 8, 2, 64
 POOLING = Pooling(tau=0.1, weights=(1.0, 1.0, 1.0), scale=1.0 / VF.QUANT_LEVELS)
 MASK_BELOW = 20
+TAIL_START = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,6 +102,19 @@ def pad_truncate(spark, sf):
     )
 
 
+@query
+def misaligned_lists(spark, sf):
+    """Histories of which some lost categories: those that fit, and the rejected ones."""
+    lost = F.slice("hist_cates", 1, F.size("hist_cates") - (F.col("uid") % 3).cast("int"))
+    users = V.users(spark, sf, False).where(F.size("hist_cates") > 2).withColumn("hist_cates", lost)
+    good, bad = Q.split_misaligned(users)
+    sizes = [F.size(c).cast("bigint") for c in S.HISTORY_COLUMNS]
+    first = F.element_at("hist_items", -1).alias("newest_item"), F.element_at("hist_cates", -1).alias("newest_cate")
+    fitted = Q.fit_histories(good, V.MAX_LEN).select("uid", F.lit("fitted").alias("kind"), *sizes, *first)
+    rejected = bad.select("uid", F.lit("rejected"), *sizes, *first)
+    return fitted.union(rejected).toDF("uid", "kind", "n_items", "n_cates", "newest_item", "newest_cate")
+
+
 @query
 def short_seq(spark, sf):
     short = Q.add_content_keys(Q.add_short(Q.fit_histories(V.users(spark, sf), V.MAX_LEN), V.SHORT))
@@ -598,6 +613,37 @@ def sharded_sink(spark, sf):
     )
 
 
+def _split(spark, sf) -> str:
+    """A split prepared from stored tables with column codes; samples lie in several files, in order."""
+    source, out = new_path(spark, "raw"), new_path(spark, "split")
+    samples = V.samples(spark, sf).orderBy(*V.FULL_KEY).select("label_0", "uid", "iid")
+    named = {"train_samples": samples, "train_user_features": V.users(spark, sf), "item_features": V.items(spark, sf)}
+    for name, df in named.items():
+        S.to_source(df).write.parquet(f"{source}/{name}.parquet")
+    jobs.prepare_split(spark, source, out, "train", ROWS_PER_SHARD)
+    return out
+
+
+def _shard_rows(spark, path: str) -> DataFrame:
+    label = X.positive_class(F.col("label_0")).cast("bigint").alias("label")
+    shards = tables.read_shards(spark, path, "train")
+    return shards.select("shard_file", "row_in_shard", label, *S.USER_COLUMNS, *S.ITEM_COLUMNS, id_text("hist_items"))
+
+
+@query
+def split_shards(spark, sf):
+    """Every row of a split from stored tables to named shards, with its place."""
+    return _shard_rows(spark, f"{_split(spark, sf)}/train")
+
+
+@query
+def split_tail(spark, sf):
+    """The last shards of that split, rewritten as equal ones and read back."""
+    out = _split(spark, sf)
+    jobs.even_out_tail(spark, f"{out}/train", f"{out}/even", "train", TAIL_START)
+    return _shard_rows(spark, f"{out}/even")
+
+
 @query
 def shard_metadata(spark, sf):
     path, shards = _written_shards(spark, sf)

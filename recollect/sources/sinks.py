@@ -40,11 +40,26 @@ def write_shards(
     write_planned_shards(feed.shard_numbers(df, order, rows_per_shard), path, "row_no")
 
 
-def write_planned_shards(df: DataFrame, path: str, order: str) -> None:
+def place_shards(df: DataFrame, order: str, numbers: tuple[int, int] | None = None) -> DataFrame:
+    """Deal rows out so that a task has whole neighbouring shards, rows by ``order``.
+
+    ``numbers`` is the first shard and how many there are. With it a shard's task follows from its
+    number. Otherwise the rows are sampled for ranges, which computes them twice.
+    """
+    if numbers is None:
+        # Ranges spread few numbers evenly, which a hash doesn't.
+        return df.repartitionByRange("shard_no").sortWithinPartitions("shard_no", order)
+    first, count = numbers
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(min(count, tasks), 1)
+    task = F.floor((F.col("shard_no") - first) * tasks / F.lit(max(count, 1))).cast("int")
+    return df.repartitionById(tasks, task).sortWithinPartitions("shard_no", order)
+
+
+def write_planned_shards(df: DataFrame, path: str, order: str, numbers: tuple[int, int] | None = None) -> None:
     """Write rows that already carry ``shard_no``: one file per shard, rows by ``order``."""
-    # Ranges keep neighbouring shards together and spread them evenly, which a hash of few numbers doesn't.
-    placed = df.repartitionByRange("shard_no").sortWithinPartitions("shard_no", order).drop(order)
-    _shard_writer(placed).partitionBy("shard_no").parquet(path)
+    _shard_writer(place_shards(df, order, numbers).drop(order)).partitionBy("shard_no").parquet(path)
 
 
 def name_shards(spark: SparkSession, path: str, mode: str) -> list[str]:

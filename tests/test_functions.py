@@ -36,6 +36,14 @@ def test_lists_of_unequal_length_are_set_apart(spark):
     assert sorted(r.uid for r in good.collect()) == [2, 3]
 
 
+def test_lists_of_unequal_length_are_not_fitted(spark):
+    rows = [(1, [1, 2, 3], [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5], [1, 2]), (3, [7], [8]), (4, [], None), (5, [1], None)]
+    df = spark.createDataFrame(rows, LISTS)
+    fitted = {r.uid: (r.hist_items, r.hist_cates) for r in Q.fit_histories(df, 4).collect()}
+    assert fitted == {3: ([0, 0, 0, 7], [0, 0, 0, 8]), 4: ([0] * 4, [0] * 4)}
+    assert sorted(r.uid for r in Q.split_misaligned(df)[1].collect()) == [1, 2, 5]
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(1, list(range(1, 1001)), [])], LISTS)
     assert df.select(Q.mask_ids("hist_items", lambda x, i: x > 3)).first()[0] == [1, 2, 3] + [0] * 997

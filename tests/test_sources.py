@@ -96,6 +96,25 @@ def test_split_names():
         split_tables("dev")
 
 
+def test_split_rows_are_numbered_without_sort_or_sample(spark, tmp_path, no_broadcast):
+    """Numbers come from file sizes and positions; wide rows move straight to the task of their shard."""
+    source = f"{tmp_path}/raw"
+    samples, users, items = inputs(spark)
+    for name, df in zip(("train_samples", "train_user_features", "item_features"), (samples.repartition(3), users, items)):
+        S.to_source(df).write.parquet(f"{source}/{name}.parquet")
+    rows, shards = jobs.split_rows(spark, source, "train", 6)
+    placed = sinks.place_shards(rows, "row_no", (0, shards))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" in plan
+    got = placed.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.row_no for r in got) == list(range(20)) and all(r.shard_no == r.row_no // 6 for r in got)
+    assert len({(r.shard_no, r.task) for r in got}) == shards == 4
+    stored = spark.read.parquet(f"{source}/train_samples.parquet").select("*", "_metadata.file_path", "_metadata.row_index")
+    in_order = sorted(stored.collect(), key=lambda r: (r.file_path, r.row_index))
+    uid = S.to_source(samples.select("uid")).columns[0]
+    assert [r.uid for r in sorted(got, key=lambda r: r.row_no)] == [r[uid] for r in in_order]
+
+
 def test_split_from_tables_to_shards(spark, tmp_path):
     """Stored tables under their column codes go in; named shards with a sidecar come out."""
     source, out = f"{tmp_path}/raw", f"{tmp_path}/out"
