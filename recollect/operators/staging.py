@@ -35,7 +35,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is still there and the session still runs."""
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
@@ -56,7 +57,7 @@ def release(mark: int = 0) -> None:
     Frames that read them can't be evaluated afterwards.
     """
     while len(_live) > mark:
-        _remove(*_live.pop())
+        remove_path(*_live.pop())
 
 
 @contextmanager
