@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import io
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +17,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.staging import scope, stage
+import recollect
+from recollect.operators.staging import remove_path, scope, shared_dir, stage
 
 # A table is sent to every executor only when its counted rows stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
 # Bytes of text that a task holds as Python objects at a time.
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
+_SHIPPED = "_recollect_shipped"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,11 +57,39 @@ def measured_side(df: DataFrame, row_bytes: Column) -> DataFrame | None:
     return F.broadcast(df) if total <= BROADCAST_BYTES else None
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package known to the Python workers of the session, once.
+
+    Its modules go as one archive in the shared folder, so executors need not have it installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, _SHIPPED, False):
+        return
+    package = Path(recollect.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    # Not a staged table: executors that start later fetch it, so it stays until the driver ends.
+    folder = f"{shared_dir(spark)}/recollect/package-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, folder)
+    path = f"{folder}/recollect_package.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    setattr(context, _SHIPPED, True)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that limits the bytes of a batch sent to Python: BATCH_BYTES unless it says otherwise.
 
     Spark's own limit of 64 MB is held several times over by a task and its worker.
     """
+    ship_package(df.sparkSession)
     if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df
