@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from recollect.llm.common import bounded_batches, give_back_memory
 
 # Bytes of text whose words are merged together, and bytes of encoded words that a task remembers.
-CORPUS_BYTES = 3 << 20
-MEMORY_BYTES = 48 << 20
+CORPUS_BYTES = 3 << 19
+MEMORY_BYTES = 16 << 20
 _PAIR = 1 << 32
 # A single space between two other characters. No match of a usual pre-split pattern crosses it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
@@ -51,13 +52,16 @@ class Merges:
     def _all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of tokens that forms a token, as sorted keys, and its rank."""
         of = self.ranks
-        found = [
-            (of[token[:k]] * _PAIR + of[token[k:]], rank)
-            for token, rank in of.items() for k in range(1, len(token))
-            if token[:k] in of and token[k:] in of
-        ]
-        keys, ranks = np.array(sorted(found), dtype=np.int64).reshape(-1, 2).T
-        return np.append(keys, -1), np.append(ranks, -1)
+        keys, ranks = array("q"), array("q")
+        for token, rank in of.items():
+            for k in range(1, len(token)):
+                left, right = of.get(token[:k]), of.get(token[k:])
+                if left is not None and right is not None:
+                    keys.append(left * _PAIR + right)
+                    ranks.append(rank)
+        keys, ranks = np.frombuffer(keys, np.int64), np.frombuffer(ranks, np.int64)
+        order = np.argsort(keys)
+        return np.append(keys[order], -1), np.append(ranks[order], -1)
 
     def _ranks(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         """Rank of each pair of neighbours, -1 if they don't merge."""
