@@ -18,6 +18,8 @@ from recollect.operators.staging import scope, stage
 TRAIN_ROWS = 20_000
 # Weight of the overall share in the share of one suffix.
 PRIOR_ROWS = 20.0
+# Parts of the labelled hosts; a training URL gets the statistics of the other parts.
+FOLDS = 4
 FEATURES = [
     "length", "host_length", "depth", "labels", "digit_ratio", "symbol_ratio", "entropy", "parameters",
     "has_fragment", "secure", "longest_segment", "suffix_rows", "suffix_rate", "domain_rate",
@@ -89,17 +91,34 @@ def _lookup(rows: DataFrame, rates: DataFrame, key: str, row_bytes: int) -> Data
 
 
 def _with_rates(rows: DataFrame, suffixes: DataFrame, domains: DataFrame, overall: float) -> DataFrame:
-    joined = _lookup(_lookup(rows, suffixes, "suffix", 96), domains, "domain", 128)
-    filled = joined.fillna({"suffix_rows": 0.0, "suffix_rate": overall, "domain_rate": overall})
+    """``rows`` with the statistics of their suffix and domain as features.
+
+    Rows with a ``fold`` are training rows and get the statistics of the other folds: a row must not
+    find its own label in its features, and leaving out only the row itself would show it as well.
+    """
+    joined = _lookup(_lookup(rows, suffixes, "suffix", 160), domains, "domain", 192)
+
+    def others(name: str) -> Column:
+        count = F.coalesce(F.element_at(name, FOLDS + 1), F.lit(0.0))
+        own = F.coalesce(F.element_at(F.col(name), F.col("fold") + 1), F.lit(0.0)) if "fold" in rows.columns else F.lit(0.0)
+        return count - own
+
+    rates = {
+        f"{key}_rate": (others(f"{key}_bad") + PRIOR_ROWS * overall) / (others(f"{key}_rows") + PRIOR_ROWS)
+        for key in ("suffix", "domain")
+    }
+    filled = joined.withColumns({**rates, "suffix_rows": others("suffix_rows")})
     return filled.withColumns({name: F.col(name).cast("double") for name in FEATURES})
 
 
-def _rates(labelled: DataFrame, key: str, name: str, overall: float) -> DataFrame:
-    rows, bad = F.sum("rows"), F.sum("bad")
-    return labelled.groupBy(key).agg(
-        rows.cast("double").alias(f"{name}_rows"),
-        ((bad + PRIOR_ROWS * overall) / (rows + PRIOR_ROWS)).alias(f"{name}_rate"),
-    )
+def _counts(labelled: DataFrame, key: str) -> DataFrame:
+    """Labelled rows of each ``key``, and those to be blocked: one number per fold, then their sum."""
+
+    def by_fold(name: str) -> Column:
+        folds = [F.sum(F.when(F.col("fold") == k, F.col(name)).otherwise(0)).cast("double") for k in range(FOLDS)]
+        return F.array(*folds, F.sum(name).cast("double"))
+
+    return labelled.groupBy(key).agg(by_fold("rows").alias(f"{key}_rows"), by_fold("bad").alias(f"{key}_bad"))
 
 
 def _class_shares(blocked: int, allowed: int, most: int) -> dict[bool, float]:
@@ -121,17 +140,19 @@ def judge(
     statistics and the rows of each class are counted over all labelled rows. Only the trees are
     fitted to a sample of about ``train_rows`` distinct URLs, up to half of them (and what the other
     leaves) of each class, chosen by a hash of the URL. A URL weighs as its rows, and as the URLs of
-    its class that it stands for. All work runs in the JVM. If the labels name one class or none,
+    its class that it stands for; the statistics it is trained with are those of
+    the other FOLDS - 1 folds of hosts. All work runs in the JVM. If the labels name one class or none,
     that class (else "not blocked") is the answer.
     """
     with scope() as keep:
         distinct = stage(
             labelled.groupBy("url", "host", "path", "block").agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("label", F.col("block").cast("double")), "labelled-urls",
+            .withColumns({"label": F.col("block").cast("double"), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")}),
+            "labelled-urls",
         )
         counted = stage(
-            distinct.select(*[c.alias(n) for n, c in suffix_keys(F.col("host")).items()], "block", "rows", "label")
-            .groupBy("suffix", "domain").agg(
+            distinct.select(*[c.alias(n) for n, c in suffix_keys(F.col("host")).items()], "block", "rows", "label", "fold")
+            .groupBy("suffix", "domain", "fold").agg(
                 F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("label")).alias("bad"),
                 F.count(F.lit(1)).alias("urls"), F.count_if("block").alias("bad_urls"),
             ), "labelled-domains",
@@ -142,13 +163,13 @@ def judge(
             blocked = bool(seen["bad"])
             return urls.withColumns({"block_score": F.lit(float(blocked)), "blocked": F.lit(blocked)})
         overall = seen["bad"] / seen["rows"]
-        suffixes = keep(_rates(counted, "suffix", "suffix", overall), "suffixes")
-        domains = keep(_rates(counted, "domain", "domain", overall).drop("domain_rows"), "domains")
+        suffixes = keep(_counts(counted, "suffix"), "suffixes")
+        domains = keep(_counts(counted, "domain"), "domains")
         shares = _class_shares(seen["bad_urls"], seen["urls"] - seen["bad_urls"], train_rows)
         share = F.when(F.col("block"), F.lit(shares[True])).otherwise(F.lit(shares[False]))
         sample = distinct.where(hash_share(F.col("url"), share)).select(
             "url", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()],
-            "label", (F.col("rows") / share).alias("_weight"),
+            "label", (F.col("rows") / share).alias("_weight"), "fold",
         )
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
         trees = GBTClassifier(
