@@ -16,6 +16,8 @@ from recollect.operators.staging import scope, stage
 BUCKETS = 1024
 HASH_BITS = 40
 NUMBERED_ROWS = 65_536
+# Copies of one row that are told apart in one step.
+COPY_ROWS = 65_536
 TOLERANCE = 0.001
 # A group of equal rows above this part of a shard may be cut.
 GROUP_SHARE = 0.5
@@ -169,10 +171,24 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     return numbered.withColumn("slot", (F.col("begin") + F.col("place") - 1).cast("bigint")).drop("begin", "place", "part")
 
 
-def short_hash(*columns: Column) -> Column:
+def short_hash(*columns: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``tie`` that tells equal rows apart.
+
+    Equal rows are counted, and their numbers enter ``tie``: the same rows get the same ties however
+    Spark splits the work. Copies are made COPY_ROWS at a time, each such run in a task of its own.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPY_ROWS))))
+    first = F.col("run") * COPY_ROWS
+    last = F.least(first + COPY_ROWS, F.col("copies")) - 1
+    each = runs.repartition("tie", "run").withColumn("copy", F.explode(F.sequence(first, last)))
+    return each.withColumn("tie", short_hash("tie", "copy")).select(*rows.columns)
+
+
 def text_dimensions(text: Column) -> Mapping[str, Column]:
     """Metadata that depends on the text alone: scale of its size, and shares per 1000 bytes."""
     size = F.greatest(F.octet_length(text), F.lit(1))
@@ -188,7 +204,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is bytes).
 
     Null and empty texts have no bytes, size 1 and checksum 0. Equal texts share a shard unless
-    they are above half of one; ties of a slot's order are equal rows.
+    they are above half of one. Equal rows are counted apart, so a group of any number of copies is
+    cut by their numbers; ties of a slot's order are equal rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     points = docs.select(
@@ -197,7 +214,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         *[column.cast("bigint").alias(name) for name, column in text_dimensions(text).items()],
         short_hash(text).alias("grp"), short_hash(F.col("doc_id"), text, F.lit(1)).alias("tie"),
     )
-    sharded = kd_shards(points, ["scale", "wide", "lines"], shards=shards)
+    sharded = kd_shards(apart(points), ["scale", "wide", "lines"], shards=shards)
     return with_slots(sharded, ["doc_id", "tie"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         "slot", F.lit(None).cast("int").alias("grown_shard"),
