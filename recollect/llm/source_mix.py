@@ -106,16 +106,52 @@ def flight(share: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np
     return np.array(share)
 
 
-def _landing(share: np.ndarray, sizes: np.ndarray, owed: float) -> np.ndarray:
-    """Set the last open units to 0 or 1 so that their sizes come nearest to what is owed."""
-    open_units = np.flatnonzero((share > _EPS) & (share < 1 - _EPS))
-    choices = [np.array([(code >> k) & 1 for k in range(len(open_units))]) for code in range(1 << len(open_units))]
-    best = min(choices, key=lambda chosen: (abs((chosen * sizes[open_units]).sum() - owed), chosen.sum()))
+def _settle(share: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Go on with the sum of sizes alone, two open units at a time, until at most one is open."""
     share = share.copy()
-    share[open_units] = best
+    open_units = np.flatnonzero((share > _EPS) & (share < 1 - _EPS)).tolist()
+    while len(open_units) > 1:
+        a, b = open_units[:2]
+        way = (sizes[b], -sizes[a]) if sizes[a] or sizes[b] else (1.0, -1.0)
+        up = min((1 - share[k]) / w if w > 0 else share[k] / -w for k, w in zip((a, b), way) if w)
+        down = min(share[k] / w if w > 0 else (1 - share[k]) / -w for k, w in zip((a, b), way) if w)
+        go = up if rng.random() * (up + down) < down else -down
+        for k, w in zip((a, b), way):
+            value = share[k] + go * w
+            share[k] = 0.0 if value <= _EPS else 1.0 if value >= 1 - _EPS else value
+        open_units = [k for k in open_units if _EPS < share[k] < 1 - _EPS]
     return share
 
 
+def _landing(share: np.ndarray, sizes: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
+    """Set the last open unit to 0 or 1, then mend what that costs the sum of sizes.
+
+    The nearer of both values is taken. If another unit's change, or an exchange of a taken unit for
+    one that isn't, brings the sum nearer to the shares' own, the best of these is made. Units in
+    ``fixed``, whose share was 0 or 1 from the start, stay.
+    """
+    landed = np.round(share)
+    owed = float((share * sizes).sum() - (landed * sizes).sum())  # what is still to be taken
+    free = np.ones(len(share), bool) if fixed is None else ~fixed
+    inside = np.flatnonzero(free & (landed == 1))
+    outside = np.flatnonzero(free & (landed == 0))
+    inside, outside = (x[np.argsort(sizes[x], kind="stable")] for x in (inside, outside))
+    # A unit of size 0 stands for "none", on either side.
+    take, leave = np.append(0.0, sizes[outside]), np.append(0.0, sizes[inside])
+    place = np.searchsorted(leave, take - owed)
+    left, right = np.maximum(place - 1, 0), np.minimum(place, len(leave) - 1)
+    miss_left, miss_right = np.abs(owed - take + leave[left]), np.abs(owed - take + leave[right])
+    best = np.where(miss_left <= miss_right, left, right)
+    miss = np.minimum(miss_left, miss_right)
+    k = int(np.argmin(miss))
+    if miss[k] < abs(owed) - _EPS:
+        if k:
+            landed[outside[k - 1]] = 1.0
+        if best[k]:
+            landed[inside[best[k] - 1]] = 0.0
+    return landed
+
+
 def _seed(*parts: int) -> np.random.Generator:
     return np.random.default_rng([part & 0xFFFFFFFF for part in parts])
 
@@ -127,10 +163,12 @@ def _flyer(level: int, land: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFra
         # Large units first: what stays open to the end, and is landed, is small.
         rows = rows.sort_values(["size", "order", "unit"], ascending=[False, True, True], kind="stable")
         sizes = rows["size"].to_numpy()
-        after = flight(rows["share"].to_numpy(), sizes, _seed(key[0], key[1], level))
+        share = rows["share"].to_numpy()
+        after = flight(share, sizes, _seed(key[0], key[1], level))
         if key[2] == 1 and land:
-            open_units = (after > _EPS) & (after < 1 - _EPS)
-            after = _landing(after, sizes, float((after * sizes)[open_units].sum()))
+            fixed = (share <= _EPS) | (share >= 1 - _EPS)
+            settled = _settle(after, sizes, _seed(key[0], key[1], level, 1))
+            after = _landing(settled, sizes.astype(float), fixed)
         return rows.assign(share=after)[["unit", "stratum", "size", "share"]]
 
     return fly
@@ -143,8 +181,8 @@ def balanced_sample(units: DataFrame, land: bool = True) -> DataFrame:
     inclusion probability. Units of a stratum are dealt by a hash into groups of about
     FLIGHT_UNITS, so a stratum with a third of all rows is many tasks. A flight keeps each group's
     totals of size and count and leaves at most two units open. Those go into the next round's
-    groups, about a two-thousandth as many, until a stratum has one group; there at most two open
-    units are landed. Groups and random draws depend on the units alone, so reruns agree.
+    groups, about a two-thousandth as many, until a stratum has one group; there the number of units
+    is let go, the sum of sizes is kept until one unit is open, and landing it is made good by one exchange. Groups and random draws depend on the units alone, so reruns agree.
     """
     schema = "unit long, stratum long, size long, share double"
     with scope() as keep:
