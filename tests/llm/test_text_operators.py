@@ -163,7 +163,27 @@ def test_marks_are_whole_attributes_and_spare_what_holds_the_article():
     assert page_text.blocks("<article>m<div class=comments><article>c</article></div></article><div class=related><article>t</article></div>") == [(2, "m")]
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+def test_marks_are_whole_names_and_articles_keep_text_and_title():
+    texts = lambda page: [t for _, t in page_text.blocks(page) if _ == 2]
+    kept = (
+        "<p class='share-price'>a</p><p class='notice-period'>b</p><section id='notification-of-death'>c</section>"
+        "<div class='recipe cookie'>d</div><div class='lead related-lead'>e</div>"
+    )
+    assert texts(f"<article>{kept}</article>") == list("abcde")
+    gone = (
+        "<div class='cookie-banner sticky'>x</div><div class='col-4 sidebar'>x</div><p class='notice'>x</p><div class='box notice'>x</div>"
+        "<section class='responses'>x</section><div id='post-comments'>x</div><div class='ad-300x250'>x</div><div class=shareButtons>x</div>"
+    )
+    assert texts(f"<article><p>a</p>{gone}</article>") == ["a"]
+    assert texts("<article><header class='masthead'><h1>T</h1><p>by</p></header><div class='banner'><h1>U</h1><h2>x</h2></div><p>a</p></article>") == ["T", "U", "a"]
+    assert texts("<article><div class='comments'><h1>x</h1></div><header class='ads'><h1>x</h1></header><p>a</p></article>") == ["a"]
+    # Teasers beside main go; what holds the whole article isn't marked.
+    assert texts("<article>teaser</article><main><p>a</p><article>b</article></main><article>teaser</article>") == ["a", "b"]
+    assert texts("<main></main><article>a</article>") == ["a"]
+    assert texts("<article><h1>T</h1><div class='widget'><p>one two</p></div><div class='comments'>x</div></article>") == ["T", "one two"]
+
+
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch):
     rng = np.random.default_rng(2)
 
     def length(a, b):
@@ -173,7 +193,9 @@ def test_shared_lines_are_a_longest_common_subsequence():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         return table[-1][-1]
 
-    for _ in range(200):
+    assert len(page_text.shared_lines([2] * 39 + [1, 2] * 20, [1, 2] * 40)) == 60
+    for k in range(400):
+        monkeypatch.setattr(page_text, "TABLE_BITS", (1 << 26, 6)[k % 2])
         a, b = (rng.integers(0, 6, rng.integers(0, 12)).tolist() for _ in range(2))
         found = sorted(page_text.shared_lines(a, b))
         picked, rest = [a[k] for k in found], iter(b)
@@ -187,6 +209,7 @@ def test_pages_lose_what_they_share_with_the_nearest_url(spark):
     rows = [
         (1, "http://h.org/a/1", page("first story")), (2, "http://h.org/a/2", page("second story")),
         (3, "http://h.org/b", page("third story")), (4, "http://other.org/a", page("alone")), (5, None, None),
+        (None, "http://h.org/a/3", page("no id")),
         (6, "http://x.org/", ""), (7, "http://art.org/", ARTICLE), (8, "http://art.org/2", ARTICLE),
         (9, "http://copy.org/1", page("same")), (10, "http://copy.org/1", page("same")), (1, "http://h.org/a/1", page("first story")),
         (11, "http://long.org/", "<p>w</p>" * 20_000),
@@ -196,6 +219,7 @@ def test_pages_lose_what_they_share_with_the_nearest_url(spark):
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     got = {r["page_id"]: r["text"] for r in found}
     assert [got[k] for k in (1, 2, 3)] == ["first story", "second story", "third story"]
+    assert got[None] == "no id"
     assert got[4] == "Site menu here\n\nalone\n\nAll rights kept" and got[5] == got[6] == ""
     assert got[7] == got[8] == "T & U\n\nOne two\n\nthree <x>"
     assert got[9] == got[10] == "Site menu here\n\nsame\n\nAll rights kept"
