@@ -67,8 +67,14 @@ def mask_ids(values: Column, drop) -> Column:
 
 
 def mask_random(values: Column, share: float, key: Column, seed: int = 0) -> Column:
-    """Set a reproducible random share of the entries to 0, drawn per (seed, key, position)."""
+    """Set a reproducible random share of the entries to 0, drawn per (seed, key, position).
+
+    The draw is the first 32 bits of an MD5, so that other engines can repeat it.
+    """
     cut = round(share * 1_000_000)
-    return mask_ids(
-        values, lambda x, i: F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1_000_000)) < cut
-    )
+
+    def drop(x: Column, i: Column) -> Column:
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string"))), 1, 8), 16, 10)
+        return F.pmod(drawn.cast("bigint"), F.lit(1_000_000)) < cut
+
+    return mask_ids(values, drop)

@@ -351,6 +351,10 @@ ORACLE: dict[str, str] = {
             (CASE WHEN freq >= 20 THEN item WHEN freq < 20 THEN 0 END)::VARCHAR, ',' ORDER BY i), '') AS hist_items
         FROM customers LEFT JOIN hist USING (uid)
         LEFT JOIN freq_list ON feature = 'hist_items' AND id = item GROUP BY uid"""),
+    "mask_random": _with("customers hist", """SELECT uid, coalesce(string_agg((CASE WHEN
+            ('0x' || substr(md5(concat_ws('|', 7, uid, i)), 1, 8))::BIGINT % 1000000 < 100000 THEN 0 ELSE item END)::VARCHAR,
+            ',' ORDER BY i), '') AS hist_items
+        FROM customers LEFT JOIN hist USING (uid) GROUP BY uid"""),
     "quantise": _with("vec", """SELECT iid, j - 1 AS dim, v[j]::BIGINT AS q
         FROM (SELECT iid, v, unnest(range(1, 65)) AS j FROM vec)"""),
     "dequantise": _with("vec", """SELECT iid, j - 1 AS dim,
@@ -447,6 +451,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, row_no - 4000 AS n, (count(*) OVER ()) // 8 AS each FROM samples WHERE row_no >= 4000)""")),
     "shard_metadata": _with("samples", """SELECT 'train' AS mode, count(*) AS total_rows,
             count(DISTINCT row_no // 500) AS num_shards, count(*) // (64 * 8) AS steps FROM samples"""),
+    "ingest_labels": _with("samples", "SELECT uid, iid, 1 - label AS negative, label AS positive FROM samples"),
+    "ingest_vectors": """SELECT vec_id + 1 AS iid, j - 1 AS dim, round(CAST(embedding[j] AS DOUBLE), 6) AS x
+        FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS j FROM embeddings)""",
+    "stored_columns": _with("items", """SELECT *, iid AS iid_c, 'parts' AS read FROM items
+        UNION ALL SELECT *, iid, 'typed' FROM items WHERE iid % 2 = 0"""),
     "freq_roundtrip": _with("freq_list", "SELECT * FROM freq_list"),
     "vocab_roundtrip": _with("p90 merged", """SELECT * FROM p90
         UNION ALL SELECT * FROM merged WHERE vocab = 'hist_cates'"""),

@@ -252,6 +252,13 @@ def mask_rare(spark, sf):
     ).select("uid", id_text("hist_items"))
 
 
+@query
+def mask_random(spark, sf):
+    """A tenth of all history items, drawn by user and position, set to 0."""
+    masked = Q.mask_random("hist_items", 0.1, F.col("uid"), seed=7)
+    return V.users(spark, sf).select("uid", masked.alias("hist_items")).select("uid", id_text("hist_items"))
+
+
 # --- embeddings and search -------------------------------------------------------------------
 
 
@@ -563,6 +570,38 @@ def ingest_text(spark, sf):
     )
 
 
+@query
+def ingest_labels(spark, sf):
+    """Samples with their list of labels, written as text and read back."""
+    path = new_path(spark, "raw")
+    text.format_lines(V.samples(spark, sf), S.LAYOUTS["samples"]).write.text(path)
+    labels = [F.get("label_0", k).cast("bigint").alias(name) for k, name in enumerate(("negative", "positive"))]
+    return text.read_text(spark, path, S.LAYOUTS["samples"]).good.select("uid", "iid", *labels)
+
+
+@query
+def ingest_vectors(spark, sf):
+    """Embeddings written as text and read back, one row per component."""
+    path = new_path(spark, "raw")
+    text.format_lines(V.embeddings(spark, sf), S.LAYOUTS["embeddings"]).write.text(path)
+    read = text.read_text(spark, path, S.LAYOUTS["embeddings"], vector_width=V.WIDTH)
+    return read.good.select("iid", F.posexplode("vec").alias("dim", "x")).select(
+        "iid", big("dim"), r6(F.col("x").cast("double"), "x")
+    )
+
+
+@query
+def stored_columns(spark, sf):
+    """Items stored under column codes in two folders: both read as one, and the even ones alone."""
+    items = stage(V.items(spark, sf), "items")
+    paths = [new_path(spark, "even"), new_path(spark, "odd")]
+    for rest, path in enumerate(paths):
+        S.to_source(items.where(F.col("iid") % 2 == rest)).write.parquet(path)
+    whole = S.group_columns(Q.add_content_keys(tables.read_parts(spark, *paths)), "target")
+    even = Q.add_content_keys(tables.read_typed(spark, paths[0], S.ITEM_COLUMNS))
+    return whole.withColumn("read", F.lit("parts")).unionByName(even.withColumn("read", F.lit("typed")))
+
+
 def _faulty_lines(spark, sf) -> DataFrame:
     """Item rows as text: blank, short and malformed lines among good ones, by item size."""
     part = V.table(spark, sf, "part")
