@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scalars as X
 from recollect.operators.ordering import running_totals
+from recollect.operators.staging import stage
 
 # The threshold grid is -MARGIN, 1/199 .. 198/199, 1 + MARGIN.
 N_THRESHOLDS = 200
@@ -40,8 +41,12 @@ def pair_wins(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sum over those, so pairs are counted without ever being formed. Pair counts are decimals:
     the product of two row counts may exceed 64 bits.
     """
+    return wins_of_counts(scores.groupBy(*by, "score").agg(*_class_counts()), by)
+
+
+def wins_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`pair_wins` of rows already reduced to (group, score, pos, neg)."""
     by = list(by)
-    counts = scores.groupBy(*by, "score").agg(*_class_counts())
     below = running_totals(counts, ["score"], {"neg_to_here": F.col("neg")}, by)
     won = F.col("pos").cast(_PAIRS) * (F.col("neg_to_here") - F.col("neg")).cast("decimal(20,0)")
     return below.groupBy(*by).agg(
@@ -59,9 +64,13 @@ def auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     A group with one class only has auc 1 and no wins.
     """
+    return _share_won(pair_wins(scores, by), by)
+
+
+def _share_won(wins: DataFrame, by: Sequence[str]) -> DataFrame:
     share = F.try_divide(F.col("wins").cast("double"), F.col("pairs").cast("double"))
     one_class = F.col("pairs") == 0
-    return pair_wins(scores, by).select(
+    return wins.select(
         *by, F.when(one_class, F.lit(1.0)).otherwise(share).alias("auc"), "p", "n", "wins"
     )
 
@@ -71,7 +80,11 @@ def gauc(scores: DataFrame, by: Sequence[str] = (), user: str = "uid") -> DataFr
 
     Exact over all rows of a user. With ``by`` (a batch, say) users are taken within each group.
     """
-    users = auc(scores, [*by, user]).where((F.col("p") > 0) & (F.col("n") > 0))
+    return _weigh_users(_share_won(pair_wins(scores, [*by, user]), [*by, user]), by)
+
+
+def _weigh_users(users: DataFrame, by: Sequence[str]) -> DataFrame:
+    users = users.where((F.col("p") > 0) & (F.col("n") > 0))
     weight = F.col("p") + F.col("n")
     return users.groupBy(*by).agg(
         F.sum(F.col("auc") * weight).alias("weighted_auc_sum"),
@@ -192,19 +205,43 @@ def batch_mean_loss(scores: DataFrame, batch: str = "batch_id") -> DataFrame:
     return logloss(scores, [batch]).agg(F.avg("logloss").alias("logloss"))
 
 
-def step_metrics(scores: DataFrame, step: str = "batch_id") -> DataFrame:
-    """One row per step: wins, pairs, per-user AUC sums and loss of that step alone."""
-    pairs = pair_wins(scores, [step]).select(
-        step, "wins", "pairs"
+def score_cube(scores: DataFrame, step: str = "batch_id", user: str = "uid") -> DataFrame:
+    """(step, user, score, pos, neg, n): all that step metrics need to know of the rows, stored."""
+    cube = scores.groupBy(step, user, "score").agg(*_class_counts(), F.count(F.lit(1)).alias("n"))
+    return stage(cube, "cube")
+
+
+def _merged(cube: DataFrame, by: Sequence[str]) -> DataFrame:
+    return cube.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
+
+
+def cube_steps(cube: DataFrame, step: str = "batch_id", user: str = "uid") -> tuple[DataFrame, DataFrame]:
+    """Step metrics and bucket counts of a :func:`score_cube`, whose users are merged once."""
+    tied = stage(_merged(cube, [step, "score"]), "tied")
+    pairs = wins_of_counts(tied, [step]).select(step, "wins", "pairs")
+    by_user = [step, user]
+    users = _weigh_users(_share_won(wins_of_counts(cube, by_user), by_user), [step])
+    # A row without a score has no loss.
+    scored = tied.where(F.col("score").isNotNull())
+    lost = F.col("pos") * row_loss(F.lit(1), F.col("score")) + (F.col("n") - F.col("pos")) * row_loss(
+        F.lit(0), F.col("score")
     )
-    users = gauc(scores, [step]).select(step, "weighted_auc_sum", "impressions")
-    loss = logloss(scores, [step])
-    return pairs.join(loss, step).join(users, step, "left").select(
+    loss = scored.groupBy(step).agg((F.sum(lost) / F.sum("n")).alias("loss"))
+    table = pairs.join(loss, step, "left").join(users.select(step, "weighted_auc_sum", "impressions"), step, "left")
+    steps = table.select(
         F.col(step).alias("step"), "wins", "pairs",
         F.coalesce("weighted_auc_sum", F.lit(0.0)).alias("weighted_auc_sum"),
-        F.coalesce("impressions", F.lit(0)).alias("impressions"),
-        F.col("logloss").alias("loss"),
+        F.coalesce("impressions", F.lit(0)).alias("impressions"), "loss",
+    )
+    buckets = tied.withColumn("bucket", thresholds_below(F.col("score"))).groupBy(step, "bucket").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
+    return steps, buckets
+
+
+def step_metrics(scores: DataFrame, step: str = "batch_id") -> DataFrame:
+    """One row per step: wins, pairs, per-user AUC sums and loss of that step alone."""
+    return cube_steps(score_cube(scores, step), step)[0]
 
 
 def running_curves(buckets: DataFrame, step: str = "batch_id") -> DataFrame:
@@ -243,6 +280,6 @@ def accumulate(steps: DataFrame) -> DataFrame:
 
 def running_metrics(scores: DataFrame, step: str = "batch_id") -> DataFrame:
     """Step metrics with the accumulated threshold AUC, pair AUC, per-user AUC and mean loss."""
-    table = accumulate(step_metrics(scores, step))
-    curves = running_curves(bucket_counts(scores, [step]), step)
+    steps, buckets = cube_steps(score_cube(scores, step), step)
+    table, curves = accumulate(steps), running_curves(buckets, step)
     return table.join(curves.withColumnRenamed("auroc", "auroc_so_far"), "step")
