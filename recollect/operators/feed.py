@@ -16,6 +16,9 @@ from recollect.operators.staging import stage
 EPOCH_FACTOR = 100
 RANK_FACTOR = 10
 
+# Rows that a reader's shuffle buffer holds.
+BUFFER_ROWS = 1000
+
 
 def shard_numbers(
     df: DataFrame, order: Sequence[str], rows_per_shard: int = S.ROWS_PER_SHARD
@@ -201,6 +204,51 @@ def shuffled_batches(
     return out.drop("_place", "_shuffle_key", "seed")
 
 
+def buffered_batches(
+    rows: DataFrame,
+    plan: DataFrame,
+    batch_size: int,
+    buffer_size: int = BUFFER_ROWS,
+    position: str = "row_in_shard",
+    shard: str = "shard_no",
+    drop_last: bool = True,
+) -> DataFrame:
+    """Batches of rows as they leave a buffer with replacement of ``buffer_size`` rows per reader.
+
+    A reader's first rows fill the buffer. Each later row takes a slot drawn from the reader's
+    seed and the row's place in the stream, and the row that held the slot comes out. What is
+    left at the end comes out in a drawn order. So a row never comes out more than
+    ``buffer_size`` places before its turn, however late it may come.
+
+    No buffer is run: a row comes out when the next row of its slot arrives. Rows are shuffled once,
+    by reader and slot, so a reader of any size is cut into ``buffer_size`` keys; only the rest, at
+    most a buffer for each reader, is ordered in one task. With a buffer of one row the stream keeps
+    its order.
+    """
+    if buffer_size < 1:
+        raise ValueError("buffer_size must be positive")
+    offsets = _with_reader_rows(plan_offsets(plan)).select(
+        shard, "rank", "worker", "seed", "rows_before", "reader_rows"
+    )
+    # Stored, the plan has its true size, one row per shard, and Spark may broadcast it.
+    read = rows.join(stage(offsets, "offsets"), shard).withColumn(
+        "_turn", (F.col("rows_before") + F.col(position)).cast("bigint")
+    )
+    drawn = F.conv(F.substring(_mixed("seed", "_turn"), 1, 8), 16, 10).cast("bigint")
+    slot = F.when(F.col("_turn") < buffer_size, F.col("_turn")).otherwise(F.pmod(drawn, F.lit(buffer_size)))
+    held = Window.partitionBy("rank", "worker", "_slot").orderBy("_turn")
+    # Stored, the rows that are replaced and the rest are read without finding them anew.
+    left = stage(read.withColumn("_slot", slot).withColumn("_next", F.lead("_turn").over(held)), "buffered")
+    out = left.where(F.col("_next").isNotNull()).withColumn("_place", F.col("_next") - buffer_size)
+    # At most ``buffer_size`` rows of a reader are left.
+    rest = Window.partitionBy("rank", "worker").orderBy(_mixed("seed", "_slot"), "_slot")
+    last = left.where(F.col("_next").isNull()).withColumn(
+        "_place", F.greatest(F.col("reader_rows") - buffer_size, F.lit(0)) + F.row_number().over(rest) - 1
+    )
+    placed = _cut(out.unionByName(last), F.col("_place"), batch_size, drop_last)
+    return placed.drop("_turn", "_slot", "_next", "_place", "seed")
+
+
 def _reader_offsets(plan: DataFrame) -> DataFrame:
     """One row per reader: its rows and those of the readers before it."""
     earlier = (
@@ -213,6 +261,33 @@ def _reader_offsets(plan: DataFrame) -> DataFrame:
     )
 
 
+def number_by_bytes(
+    rows: DataFrame, target_bytes: int, file: str = "row_file", pos: str = "row_pos", size: str = "file_bytes"
+) -> DataFrame:
+    """Add ``row_no`` and ``shard_no`` to stored rows: neighbours share a shard of ``target_bytes``.
+
+    Files keep their order. A row's byte is its file's first byte plus its share of the file, so
+    small files are put together and large ones cut. The listing has one row per file.
+    """
+    if target_bytes < 1:
+        raise ValueError("target_bytes must be positive")
+    earlier = Window.partitionBy(F.lit(0)).orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    listing = rows.groupBy(file).agg(F.max(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows")).withColumns({
+        "_bytes_before": F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)),
+        "_rows_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+    })
+    listing = stage(listing, "files")
+    if listing.count() <= LISTED_FILES:
+        placed = rows.join(F.broadcast(listing), file)
+    else:
+        placed = lookup_join(rows, listing, file, "inner", [pos])
+    share = F.expr(f"cast(_bytes as decimal(19,0)) * cast({pos} as decimal(19,0)) div _rows")
+    return placed.withColumns({
+        "row_no": (F.col("_rows_before") + F.col(pos)).cast("bigint"),
+        "shard_no": F.floor((F.col("_bytes_before") + share) / F.lit(target_bytes)).cast("bigint"),
+    }).drop("_bytes", "_rows", "_bytes_before", "_rows_before")
+
+
 def rebalance(
     rows: DataFrame,
     order: Sequence[str],

@@ -425,6 +425,19 @@ ORACLE: dict[str, str] = {
             PARTITION BY rank, worker ORDER BY md5(concat_ws('|', seed, {_FULL})), {_FULL}) - 1 AS place FROM mixed)
         SELECT {_KEY}, shard_no, rank, worker, (place // 64)::BIGINT AS batch_id, place
         FROM dealt WHERE place // 64 < reader_rows // 64"""),
+    "buffer_shuffle": _with("samples", _SHARDS + f""", seeded AS (SELECT shard_no, n_rows, rank, worker, 342 + rank * 10 + worker AS seed
+            FROM plan WHERE used),
+        offsets AS (SELECT *, sum(n_rows) OVER (PARTITION BY rank, worker) AS reader_rows,
+            coalesce(sum(n_rows) OVER (PARTITION BY rank, worker ORDER BY md5(concat_ws('|', seed, shard_no)), shard_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before FROM seeded),
+        read AS (SELECT *, (rows_before + row_in_shard)::BIGINT AS t FROM sharded JOIN offsets USING (shard_no)),
+        slots AS (SELECT *, CASE WHEN t < 50 THEN t
+            ELSE ('0x' || substr(md5(concat_ws('|', seed, t)), 1, 8))::BIGINT % 50 END AS slot FROM read),
+        held AS (SELECT *, lead(t) OVER (PARTITION BY rank, worker, slot ORDER BY t) AS next FROM slots),
+        dealt AS (SELECT *, CASE WHEN next IS NOT NULL THEN next - 50 ELSE greatest(reader_rows - 50, 0) - 1 + row_number() OVER (
+            PARTITION BY rank, worker, next IS NULL ORDER BY md5(concat_ws('|', seed, slot)), slot) END AS place FROM held)
+        SELECT {_KEY}, shard_no, rank, worker, (place // 64)::BIGINT AS batch_id, place::BIGINT AS place
+        FROM dealt WHERE place // 64 < reader_rows // 64"""),
     "rebalance": _with("samples", f"""SELECT {_KEY}, row_no,
             24 + least(row_no // (SELECT count(*) // 8 FROM samples), 8) AS shard_no FROM samples"""),
     "ingest_text": _with("customers lists", """SELECT uid, u1, u2, u3, u4, u5, coalesce(hist_items, '0') AS hist_items,
@@ -462,6 +475,7 @@ ORACLE: dict[str, str] = {
     "embedding_roundtrip": _with("vec", """SELECT iid, j - 1 AS dim, v[j]::BIGINT AS q
         FROM (SELECT iid, v, unnest(range(1, 65)) AS j FROM vec)"""),
     "compact_parts": _with("samples", "SELECT count(*) AS total_rows FROM samples"),
+    "compact_sized": _with("samples", f"SELECT {_KEY}, row_no AS place FROM samples"),
     "stream_confusion": _with("scores", _CONFUSION),
     "stream_steps": _with("samples", _running("orderkey % 4") + """ SELECT (SELECT count(*) FROM running) AS n_steps,
         pair_auc_so_far, gauc_so_far, auroc_so_far, mean_loss FROM running WHERE step = 3"""),

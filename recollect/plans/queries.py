@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
@@ -29,6 +29,7 @@ from recollect.streaming import shards as ST
 ROWS_PER_SHARD, FEED_ROWS, WORLD, WORKERS, BATCH = 500, 100, 8, 2, 64
 POOLING = Pooling(tau=0.1, weights=(1.0, 1.0, 1.0), scale=1.0 / VF.QUANT_LEVELS)
 MASK_BELOW = 20
+BUFFER, COMPACT_TO = 50, 40_000
 TAIL_START = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,6 +552,17 @@ def epoch_shuffle(spark, sf):
     )
 
 
+@query
+def buffer_shuffle(spark, sf):
+    """Rows as they leave a buffer with replacement, shards in a drawn order."""
+    rows = _sharded(spark, sf)
+    plan = FD.plan_readers(FD.shard_sizes(rows), WORLD, WORKERS, epoch=3, shuffle=True)
+    placed = rows.withColumn("row_in_shard", F.col("row_no") - F.col("shard_no") * FEED_ROWS)
+    return FD.buffered_batches(placed, plan, BATCH, BUFFER).select(
+        *key(), "shard_no", big("rank"), big("worker"), "batch_id", "place"
+    )
+
+
 @query
 def rebalance(spark, sf):
     rows = V.samples(spark, sf).select(*V.FULL_KEY)
@@ -723,6 +735,19 @@ def compact_parts(spark, sf):
     return sinks.compact(rows, new_path(spark, "compact"), 2)
 
 
+@query
+def compact_sized(spark, sf):
+    """Every row of a folder of uneven files after compaction by size, with its place."""
+    small, path = new_path(spark, "small"), new_path(spark, "sized")
+    rows = V.samples(spark, sf).orderBy(*V.FULL_KEY).select(*V.FULL_KEY)
+    rows.write.option("maxRecordsPerFile", ROWS_PER_SHARD).parquet(small)
+    files = stage(FD.number_shards(sinks.compact_to_size(spark, small, path, COMPACT_TO), "shard_file"), "files")
+    before = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    first = files.select("shard_file", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"))
+    read = tables.read_shards(spark, path, "part", rows.schema)
+    return read.join(first, "shard_file").select(*key(), (F.col("first") + F.col("row_in_shard")).alias("place"))
+
+
 def _score_files(spark, sf) -> tuple[str, str, DataFrame]:
     """Score table in four files, as they would arrive for a stream."""
     base = new_path(spark, "stream")

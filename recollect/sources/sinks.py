@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.operators import feed
 from recollect.operators.frequency import sort_by_frequency
+from recollect.sources import tables
+
+# Size of compacted files: a block of a distributed store.
+COMPACT_BYTES = 256 << 20
 
 
 def _shard_writer(df: DataFrame):
@@ -145,6 +149,22 @@ def compact(parts: DataFrame, path: str, n_files: int) -> DataFrame:
     )
 
 
+def compact_to_size(
+    spark: SparkSession, source: str, path: str, target_bytes: int = COMPACT_BYTES, mode: str = "part"
+) -> DataFrame:
+    """Rewrite the Parquet files below ``source`` as files of about ``target_bytes``, rows in their order.
+
+    Files are read in the order of their names. Returns (shard_file, n_rows) of what was written.
+    """
+    rows = tables.with_row_place(spark, source).withColumn("file_bytes", F.col("_metadata.file_size"))
+    placed = feed.number_by_bytes(rows, target_bytes).drop("row_file", "row_pos", "file_bytes")
+    files = rows.groupBy("row_file").agg(F.max("file_bytes").alias("n"))
+    total = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    write_planned_shards(placed, path, "row_no", (0, total // target_bytes + 1))
+    name_shards(spark, path, mode)
+    return tables.shard_rows(tables.read_shards(spark, path, mode, rows.drop("row_file", "row_pos", "file_bytes").schema))
+
+
 def write_rebalanced(
     tail: DataFrame, path: str, order: Sequence[str], n_parts: int = 8, start_index: int = 0
 ) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -95,3 +96,45 @@ def test_shard_numbers_and_totals(spark):
     totals = FD.shard_totals(numbered).first()
     assert (totals.total_rows, totals.num_shards) == (25, 3)
     assert FD.estimate_steps(25, 4, 2) == math.floor(25 / 8)
+
+
+def drawn(*parts):
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("buffer", [1, 7, 40, 1000])
+def test_buffer_with_replacement(spark, buffer):
+    rows = spark.range(403).select(F.col("id").alias("row_no"), F.floor(F.col("id") / 50).alias("shard_no"))
+    rows = rows.withColumn("row_in_shard", F.col("row_no") % 50)
+    plan = FD.plan_readers(FD.shard_sizes(rows), world_size=2, num_workers=2, epoch=1, shuffle=True)
+    got = FD.buffered_batches(rows, plan, 30, buffer, drop_last=False).collect()
+    streams = {}
+    for r in sorted(plan.where("used").collect(), key=lambda r: r.turn):
+        first = r.shard_no * 50
+        streams.setdefault((r.rank, r.worker, r.seed), []).extend(range(first, first + r.n_rows))
+    want = {}
+    for (rank, worker, seed), stream in streams.items():
+        slots, out = [], []
+        for turn, row in enumerate(stream):
+            if turn < buffer:
+                slots.append(row)
+                continue
+            slot = int(drawn(seed, turn)[:8], 16) % buffer
+            out.append(slots[slot])
+            slots[slot] = row
+        out += [slots[i] for i in sorted(range(len(slots)), key=lambda i: drawn(seed, i))]
+        assert sorted(out) == sorted(stream)
+        want.update({row: (rank, worker, place // 30, place) for place, row in enumerate(out)})
+        for place, row in enumerate(out):
+            assert place > stream.index(row) - buffer
+        if buffer == 1:
+            assert out == stream
+    assert {r.row_no: (r.rank, r.worker, r.batch_id, r.place) for r in got} == want
+
+
+def test_buffer_drops_the_last_rows_and_needs_a_size(spark):
+    rows = spark.range(100).select(F.col("id").alias("row_in_shard"), F.lit(0).alias("shard_no"))
+    plan = FD.plan_readers(FD.shard_sizes(rows))
+    assert FD.buffered_batches(rows, plan, 30, 10).count() == 90
+    with pytest.raises(ValueError):
+        FD.buffered_batches(rows, plan, 30, 0)

@@ -226,3 +226,23 @@ def test_unordered_shards_can_be_read_as_shards(spark, tmp_path):
     assert shards.count() == 1000 and shards.select("id").distinct().count() == 1000
     sizes = [r["count"] for r in shards.groupBy("shard_file").count().collect()]
     assert len(sizes) >= 5 and max(sizes) <= 200
+
+
+def test_compaction_by_size_keeps_order_and_cuts_large_files(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for start, rows in ((0, 10), (10, 4000), (4010, 30)):
+        part = spark.range(start, start + rows, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        part.write.mode("append").parquet(source)
+    names = sorted(p.name for p in (tmp_path / "in").glob("*.parquet"))
+    sizes = {n: (tmp_path / "in" / n).stat().st_size for n in names}
+    want = [r.id for n in names for r in spark.read.parquet(f"{source}/{n}").collect()]
+    target = 50_000
+    files = sinks.compact_to_size(spark, source, str(tmp_path / "out"), target)
+    assert files.agg(F.sum("n_rows").alias("n")).first().n == 4040
+    written = sorted((tmp_path / "out").glob("part-shard-*.parquet"))
+    assert len(written) == -(-sum(sizes.values()) // target)
+    assert max(p.stat().st_size for p in written) < 1.5 * target
+    got = [r.id for p in written for r in spark.read.parquet(str(p)).collect()]
+    assert got == want
+    with pytest.raises(ValueError):
+        sinks.compact_to_size(spark, source, str(tmp_path / "none"), 0)
