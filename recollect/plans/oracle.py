@@ -477,6 +477,13 @@ ORACLE: dict[str, str] = {
     "compact_parts": _with("samples", "SELECT count(*) AS total_rows FROM samples"),
     "compact_sized": _with("samples", f"SELECT {_KEY}, row_no AS place FROM samples"),
     "stream_confusion": _with("scores", _CONFUSION),
-    "stream_steps": _with("samples", _running("orderkey % 4") + """ SELECT (SELECT count(*) FROM running) AS n_steps,
-        pair_auc_so_far, gauc_so_far, auroc_so_far, mean_loss FROM running WHERE step = 3"""),
+    "stream_steps": _with("samples", _running("orderkey % 6") + f""",
+        upto AS (SELECT r.step AS seen, s.uid, s.score, sum(s.label) AS pos, sum(1 - s.label) AS neg
+            FROM scores s JOIN running r ON s.step <= r.step GROUP BY ALL),
+        upto_below AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY seen, uid ORDER BY score
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM upto),
+        upto_users AS (SELECT seen, uid, sum(pos) AS p, sum(neg) AS n, sum(pos * neg_below) AS wins
+            FROM upto_below GROUP BY seen, uid HAVING sum(pos) > 0 AND sum(neg) > 0),
+        exact AS (SELECT seen AS step, round({_USER_SUMS} / sum(p + n), 6) AS user_auc_so_far FROM upto_users GROUP BY seen)
+        SELECT running.*, user_auc_so_far FROM running JOIN exact USING (step)"""),
 }

@@ -30,6 +30,7 @@ ROWS_PER_SHARD, FEED_ROWS, WORLD, WORKERS, BATCH = 500, 100, 8, 2, 64
 POOLING = Pooling(tau=0.1, weights=(1.0, 1.0, 1.0), scale=1.0 / VF.QUANT_LEVELS)
 MASK_BELOW = 20
 BUFFER, COMPACT_TO = 50, 40_000
+STEPS = 6
 TAIL_START = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -766,12 +767,15 @@ def stream_confusion(spark, sf):
 
 @query
 def stream_steps(spark, sf):
-    """Metrics after the last of the steps that a stream of score files went through."""
-    out, checkpoint, stream = _score_files(spark, sf)
-    ST.run_step_metrics(stream, out, checkpoint).awaitTermination()
-    steps = ST.accumulated_metrics(spark, out)
-    last = steps.agg(F.max("step").alias("s")).scalar()
-    return steps.where(F.col("step") == last).select(
-        (F.col("step") + 1).cast("bigint").alias("n_steps"),
-        *[r6(F.col(c), c) for c in ("pair_auc_so_far", "gauc_so_far", "auroc_so_far", "mean_loss")],
+    """Metrics of every step of a stream of score files, and of all rows up to it."""
+    base = new_path(spark, "steps")
+    rows = V.scores(spark, sf).select("uid", "label", "score", (F.col("orderkey") % STEPS).alias("part"))
+    rows = stage(rows, "scores")
+    # Files arrive one after the other: the stream takes them by their time.
+    for part in range(STEPS):
+        rows.where(F.col("part") == part).drop("part").repartition(1).write.mode("append").parquet(f"{base}/in")
+    stream = ST.stream_shards(spark, f"{base}/in", rows.drop("part").schema, files_per_trigger=1)
+    ST.run_step_metrics(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return ST.accumulated_metrics(spark, f"{base}/out").select(
+        "step", big("wins"), big("pairs"), *[r6(F.col(c), c) for c in (*_RUNNING, "user_auc_so_far")]
     )

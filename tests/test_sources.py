@@ -1,16 +1,19 @@
 import json
 import os
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.operators import metrics as M
+from recollect.operators import staging
 from recollect.operators.samples import build_samples, split_tables
 from recollect.plans import jobs
 from recollect.sources import sinks, tables, text
 from recollect.streaming import shards as ST
+from recollect.streaming import user_scores as US
 
 
 def lines(spark, *values):
@@ -217,6 +220,44 @@ def test_streamed_metrics_match_batch(spark, tmp_path):
     batch = M.running_metrics(scores, "part").orderBy(F.desc("step")).first()
     for name in ("gauc_so_far", "pair_auc_so_far", "auroc_so_far", "mean_loss"):
         assert last[name] == pytest.approx(batch[name])
+    assert last.user_auc_so_far == pytest.approx(M.gauc(scores).first().gauc)
+
+
+def test_keyed_state_survives_a_restart(spark, tmp_path):
+    rows = spark.range(240).select(
+        F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 5).cast("bigint").alias("uid"),
+        (F.hash("id") % 3 == 0).cast("int").alias("label"),
+        F.when(F.col("id") % 9 == 0, None).otherwise(F.pmod(F.hash(F.col("id") * 7), F.lit(20)) / 20.0 - 0.3).alias("score"),
+        F.floor(F.col("id") / 40).alias("part"),
+    )
+    for part in range(6):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if part in (2, 5):
+            stream = ST.stream_shards(spark, f"{tmp_path}/in", rows.drop("part").schema)
+            before = len(staging._live)
+            ST.run_step_metrics(stream, f"{tmp_path}/m", f"{tmp_path}/ck").awaitTermination()
+            assert len(staging._live) == before
+    got = ST.accumulated_metrics(spark, f"{tmp_path}/m").orderBy("step").collect()
+    assert [r.step for r in got] == list(range(6))
+    for r in got:
+        upto = rows.where(F.col("part") <= r.step)
+        assert r.user_auc_so_far == pytest.approx(M.gauc(upto).first().gauc)
+
+
+def test_slices_of_sorted_counts_merge_in_order(monkeypatch):
+    monkeypatch.setattr(US, "SLICE", 3)
+    old = [(k, 1, 2) for k in range(0, 20, 2)]
+    new = np.array([(k, 5, 0) for k in (-4, -3, 0, 7, 8, 18, 30, 31, 32, 33)], np.int64)
+    got = np.concatenate(list(US.merge(iter(old), new)))
+    want = {k: [1, 2] for k, _, _ in old}
+    for k, p, _ in new.tolist():
+        want[k] = [want.get(k, [0, 0])[0] + p, want.get(k, [0, 0])[1]]
+    assert got.tolist() == [[k, *want[k]] for k in sorted(want)]
+    assert not list(US.merge(iter(()), new[:0]))
+    scores = np.array([-np.inf, -2.5, -0.0, 0.0, 1e-300, 3.0, np.inf, np.nan, 0.0])
+    keys = US.sort_keys(scores, np.array([False] * 8 + [True]))
+    assert keys[2] == keys[3] and keys[8] < keys[0] and (np.diff(np.delete(keys[:8], 2)) > 0).all()
+    assert US.scores_of(keys[[1, 5, 8]]).to_pylist() == [-2.5, 3.0, None]
 
 
 def test_unordered_shards_can_be_read_as_shards(spark, tmp_path):
