@@ -13,10 +13,12 @@ from recollect.sources import sinks, tables, text
 
 
 def ingest(spark: SparkSession, text_path: str, layout: str, path: str, **options) -> text.ParsedText:
-    """Raw feature text to a typed Parquet table. Returns rejected lines and counters as well."""
-    parsed = text.read_text(spark, text_path, layout, **options)
-    S.to_source(parsed.good).write.parquet(path)
-    return parsed
+    """Raw feature text to a typed Parquet table, in one pass over the text.
+
+    Rejected lines are kept in a partition of their own, which the readers of this package leave
+    out. Returns good and rejected rows as written, and counters.
+    """
+    return text.store_lines(spark.read.text(text_path), S.LAYOUTS[layout], path, **options)
 
 
 def build_statistics(spark: SparkSession, input_dir: str, output_dir: str) -> None:
@@ -42,7 +44,7 @@ def split_rows(
 ) -> tuple[DataFrame, int]:
     """Joined rows of a split with ``row_no`` and ``shard_no``, and the number of shards."""
     rows = load_and_build(spark, input_dir, mode, ("row_no", "shard_no"), rows_per_shard)
-    samples = spark.read.parquet(f"{input_dir}/{split_tables(mode)[0]}.parquet")
+    samples = tables.read_stored(spark, f"{input_dir}/{split_tables(mode)[0]}.parquet")
     return rows, -(-samples.count() // rows_per_shard)
 
 

@@ -455,6 +455,19 @@ ORACLE: dict[str, str] = {
             count(*) FILTER (WHERE NOT blank AND NOT short AND bad) AS rows_rejected,
             count(*) FILTER (WHERE NOT blank AND NOT short AND NOT bad) AS rows_written,
             count(*) FILTER (WHERE NOT blank AND NOT short) AS rows_full_length FROM flags""",
+    "ingest_stored": _LINES + """, texts AS (SELECT concat_ws(chr(9), CAST(p_partkey + 1 AS VARCHAR),
+            CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END, p_brand, CAST(p_size AS VARCHAR)) AS value
+            FROM part WHERE p_size % 2 <> 0 AND p_size % 5 <> 0 AND p_size <> 7),
+        numbers AS (SELECT count(*) AS lines_read, count(*) FILTER (WHERE blank) AS lines_blank,
+            count(*) FILTER (WHERE NOT blank) AS lines_not_blank, count(*) FILTER (WHERE NOT blank AND short) AS lines_short,
+            count(*) FILTER (WHERE NOT blank AND bad) AS rows_rejected,
+            count(*) FILTER (WHERE NOT blank AND NOT bad) AS rows_written,
+            count(*) FILTER (WHERE NOT blank AND NOT short) AS rows_full_length FROM flags)
+        SELECT 'good' AS kind, iid, CASE WHEN s % 3 = 0 THEN 0 ELSE s END::BIGINT AS cate, CASE WHEN short THEN 0 ELSE brand END AS i1,
+            CASE WHEN short THEN 0 ELSE s END::BIGINT AS i2, NULL::VARCHAR AS value, NULL::VARCHAR AS reason
+        FROM flags WHERE NOT blank AND NOT bad
+        UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL, value, 'bad field i1' FROM texts
+        UNION ALL SELECT kind, n, NULL, NULL, NULL, NULL, NULL FROM (UNPIVOT numbers ON COLUMNS(*) INTO NAME kind VALUE n)""",
     "sharded_sink": _with("samples", """SELECT printf('train-shard-%06d.parquet', row_no // 500) AS shard_file,
             count(*) AS n_rows, min(orderkey) AS first_order, max(orderkey) AS last_order, count(*) AS positions
         FROM samples GROUP BY ALL"""),

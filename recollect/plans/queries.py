@@ -646,6 +646,22 @@ def ingest_counts(spark, sf):
     return text.parse_lines(_faulty_lines(spark, sf), S.LAYOUTS["items"], fill_missing=False).counts
 
 
+@query
+def ingest_stored(spark, sf):
+    """Good rows, rejected lines and counters of one pass that writes a typed table from a text file."""
+    raw, path = new_path(spark, "raw"), new_path(spark, "typed")
+    _faulty_lines(spark, sf).write.text(raw)
+    parsed = jobs.ingest(spark, raw, "items", path)
+    none = F.lit(None).cast("string")
+    good = parsed.good.select(F.lit("good").alias("kind"), *S.ITEM_COLUMNS, none.alias("value"), none.alias("reason"))
+    blank = [F.lit(None).cast("bigint").alias(c) for c in S.ITEM_COLUMNS[1:]]
+    bad = parsed.rejected.select(F.lit("rejected").alias("kind"), F.lit(None).cast("bigint").alias("iid"), *blank, "value", "reason")
+    counts = parsed.counts.unpivot([], parsed.counts.columns, "kind", "iid").select(
+        "kind", "iid", *blank, none.alias("value"), none.alias("reason")
+    )
+    return good.unionByName(bad).unionByName(counts)
+
+
 def _written_shards(spark, sf) -> tuple[str, DataFrame]:
     path = new_path(spark, "shards")
     rows = V.samples(spark, sf).select(*V.FULL_KEY, "uid", "iid", "label")

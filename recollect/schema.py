@@ -106,3 +106,6 @@ def to_source(df: DataFrame) -> DataFrame:
 def group_columns(df: DataFrame, group: str) -> DataFrame:
     """Columns of one named group."""
     return df.select(*COLUMN_GROUPS[group])
+
+# Partition of a table made from text: good rows and rejected lines.
+LINE_KIND = "line_kind"

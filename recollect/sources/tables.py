@@ -14,9 +14,17 @@ from recollect import schema as S
 METADATA_SCHEMA = "mode string, total_rows bigint, num_shards bigint, schema array<string>, created_at string"
 
 
+def read_stored(spark: SparkSession, *paths: str) -> DataFrame:
+    """Parquet rows; of tables made from text those of good lines, by their partition."""
+    df = spark.read.parquet(*paths)
+    if S.LINE_KIND not in df.columns:
+        return df
+    return df.where(F.col(S.LINE_KIND) == "good").drop(S.LINE_KIND, "value", "reason")
+
+
 def read_typed(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Named columns of a Parquet table, readable names; fails if one is missing."""
-    df = S.to_readable(spark.read.parquet(path))
+    df = S.to_readable(read_stored(spark, path))
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found in {path}: {missing}")
@@ -46,7 +54,7 @@ def with_row_place(spark: SparkSession, path: str) -> DataFrame:
 
     The pair stays the same when a task is run again, also for rows that are exact copies.
     """
-    return spark.read.parquet(path).select(
+    return read_stored(spark, path).select(
         "*",
         F.col("_metadata.file_path").alias("row_file"),
         F.col("_metadata.row_index").alias("row_pos"),
@@ -94,7 +102,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parts(spark: SparkSession, *paths: str) -> DataFrame:
     """Several part files or folders of one table as one, rows of all of them kept."""
-    return S.to_readable(spark.read.parquet(*paths))
+    return S.to_readable(read_stored(spark, *paths))
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

@@ -198,6 +198,16 @@ def test_ingest_from_files(spark, tmp_path):
     parsed = jobs.ingest(spark, f"{tmp_path}/items.txt", "items", f"{tmp_path}/items")
     assert parsed.counts.first().rows_written == 2 and parsed.rejected.count() == 1
     stored = tables.read_typed(spark, f"{tmp_path}/items", S.ITEM_COLUMNS)
+    places = tables.with_row_place(spark, f"{tmp_path}/items")
+    assert places.count() == 2 and "line_kind" not in places.columns
+    # One write has filled all three: what comes back no longer reads the text.
+    (tmp_path / "items.txt").write_text("")
+    assert [(r.value, r.reason) for r in parsed.rejected.collect()] == [("bad\t1\t1\t1", "bad field iid")]
+    assert sorted(r.iid for r in parsed.good.collect()) == [1, 5]
+    assert parsed.counts.first().asDict() == {
+        "lines_read": 4, "lines_blank": 1, "lines_not_blank": 3, "lines_short": 0, "rows_rejected": 1,
+        "rows_written": 2, "rows_full_length": 3,
+    }
     assert sorted(map(tuple, stored.collect())) == [(1, 2, 3, 4), (5, 6, 7, 8)]
 
 
