@@ -21,7 +21,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def _spark_broadcasts(df: DataFrame) -> bool:
+def spark_broadcasts(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it send the table to every task."""
     size = estimated_bytes(df)
     if size is None:
         return False
@@ -87,7 +88,7 @@ def lookup_join(
     repeat the lookups already made.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if _spark_broadcasts(right):
+    if spark_broadcasts(right):
         return left.join(right, on, how)
     hot = hot_keys(left if count_in is None else count_in, on, hot_rows)
     salted = salt_many(left, on, hot, spread or left.columns)

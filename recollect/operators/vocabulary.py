@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.operators.frequency import coverage_levels
 from recollect.operators.ordering import with_index
-from recollect.operators.skew import HOT_ROWS, lookup_join
+from recollect.operators.skew import HOT_ROWS, lookup_join, spark_broadcasts
 
 
 def vocabulary_keys(*sources: DataFrame) -> DataFrame:
@@ -45,18 +45,62 @@ def reduced_vocabulary(
     return build_vocabulary(frequent.select("feature", "id"), target_ids.select("feature", "id"))
 
 
+def _coded(vocab: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(_vocab, _id, _idx) of the vocabularies of ``columns`` under small numbers, and these numbers."""
+    names = sorted({S.vocabulary_of(c) for c in columns})
+    codes = {name: i for i, name in enumerate(names)}
+    number = F.lit(None)
+    for name, i in codes.items():
+        number = F.when(F.col("vocab") == name, F.lit(i)).otherwise(number)
+    known = vocab.where(F.col("vocab").isin(names)).select(
+        number.cast("tinyint").alias("_vocab"), F.col("id").alias("_id"), F.col("idx").alias("_idx")
+    )
+    return known, codes
+
+
 def index_ids(
-    df: DataFrame, columns: Sequence[str], vocab: DataFrame, hot_rows: int = HOT_ROWS
+    df: DataFrame, columns: Sequence[str], vocab: DataFrame, hot_rows: int = HOT_ROWS, key: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``{column}_idx`` for scalar id columns; unseen ids and padding give 0."""
+    """Add ``{column}_idx`` for scalar id columns; unseen ids and padding give 0.
+
+    Columns whose vocabulary Spark may broadcast are looked up where the rows lie. With ``key``,
+    columns that identify a row, all others are stacked as (key, column, id) and looked up in one
+    join, so that the rows themselves move once however many large vocabularies there are.
+    """
+    large = [
+        c for c in columns
+        if key and not spark_broadcasts(vocab.where(F.col("vocab") == S.vocabulary_of(c)).select("id", "idx"))
+    ]
     source = df
     for column in columns:
+        if column in large:
+            continue
         keys = vocab.where(F.col("vocab") == S.vocabulary_of(column)).select(
             F.col("id").alias(column), F.col("idx").alias(f"{column}_idx")
         )
         df = lookup_join(df, keys, column, "left", source.columns, hot_rows, source)
         df = df.withColumn(f"{column}_idx", F.coalesce(F.col(f"{column}_idx"), F.lit(0)))
-    return df
+    return df.join(_stacked(source, large, vocab, key, hot_rows), [*key]) if large else df
+
+
+def _stacked(
+    df: DataFrame, columns: Sequence[str], vocab: DataFrame, key: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """(key, {column}_idx ...) by one join of all columns' ids."""
+    known, codes = _coded(vocab, columns)
+    entries = F.array(*[
+        F.struct(
+            F.lit(i).cast("tinyint").alias("_column"),
+            F.lit(codes[S.vocabulary_of(c)]).cast("tinyint").alias("_vocab"), F.col(c).cast("bigint").alias("_id"),
+        )
+        for i, c in enumerate(columns)
+    ])
+    stacked = df.select(*key, F.inline(entries))
+    found = lookup_join(stacked, known, ["_vocab", "_id"], "left", [*key, "_column"], hot_rows)
+    return found.groupBy(*key).agg(*[
+        F.coalesce(F.max(F.when(F.col("_column") == i, F.col("_idx"))), F.lit(0)).alias(f"{c}_idx")
+        for i, c in enumerate(columns)
+    ])
 
 
 def index_lists(
@@ -67,20 +111,23 @@ def index_lists(
     ``key`` identifies a row. All lists are unfolded in one scan and joined once; an id that
     fills much of the lists, padding above all, is cut into pieces before the shuffle.
     """
-    def entries(name: str) -> Column:
+    known, codes = _coded(vocab, columns)
+
+    def entries(number: int, name: str) -> Column:
         return F.transform(
             F.coalesce(F.col(name), F.array().cast("array<bigint>")),
             lambda x, i: F.struct(
-                F.lit(name).alias("column"), F.lit(S.vocabulary_of(name)).alias("vocab"),
-                i.alias("pos"), x.alias("id"),
+                F.lit(number).cast("tinyint").alias("_column"),
+                F.lit(codes[S.vocabulary_of(name)]).cast("tinyint").alias("_vocab"),
+                i.alias("_pos"), x.alias("_id"),
             ),
         )
 
-    unfolded = df.select(key, F.inline(F.concat(*[entries(c) for c in columns])))
-    joined = lookup_join(unfolded, vocab, ["vocab", "id"], "left", hot_rows=hot_rows)
-    pair = F.struct("pos", F.coalesce(F.col("idx"), F.lit(0)).alias("idx"))
+    unfolded = df.select(key, F.inline(F.concat(*[entries(i, c) for i, c in enumerate(columns)])))
+    joined = lookup_join(unfolded, known, ["_vocab", "_id"], "left", hot_rows=hot_rows)
+    pair = F.struct("_pos", F.coalesce(F.col("_idx"), F.lit(0)).alias("idx"))
     lists = joined.groupBy(key).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("column") == c, pair))).alias(c) for c in columns
+        F.sort_array(F.collect_list(F.when(F.col("_column") == i, pair))).alias(c) for i, c in enumerate(columns)
     ])
     folded = lists.select(
         key, *[F.transform(F.col(c), lambda e: e["idx"]).alias(f"{c}_idx") for c in columns]

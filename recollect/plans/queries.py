@@ -210,10 +210,10 @@ def remap_ids(spark, sf):
         FR.feature_ids(V.items(spark, sf), ["cate", "i1", "i2"]),
     ), "vocab")
     joined = SA.build_samples(
-        V.samples(spark, sf), users, V.items(spark, sf), keep=tuple(V.KEY)
+        V.samples(spark, sf), users, V.items(spark, sf), keep=tuple(V.FULL_KEY)
     ).drop(*S.HISTORY_COLUMNS)
     columns = [*S.USER_COLUMNS, *S.ITEM_COLUMNS]
-    return VO.index_ids(joined, columns, known).select(*key(), *[f"{c}_idx" for c in columns])
+    return VO.index_ids(joined, columns, known, key=V.FULL_KEY).select(*key(), *[f"{c}_idx" for c in columns])
 
 
 def _list_vocab(spark, sf, users):

@@ -1,12 +1,14 @@
 """Running totals and skew-safe joins against plain Python."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators.ordering import running_totals, with_index
+from recollect.operators import vocabulary as VO
 from recollect.operators.skew import hot_keys, lookup_join, salt_many
 
 
@@ -88,3 +90,25 @@ def test_chained_lookups_grow_linearly(spark, no_broadcast):
         sizes.append(plan_of(df).count("Range ("))
     steps = [b - a for a, b in zip(sizes, sizes[1:])]
     assert len(set(steps)) == 1
+
+
+def test_stacked_lookup_moves_rows_once(spark, no_broadcast):
+    rows = spark.range(300).select(
+        "id", (F.col("id") % 7).alias("uid"), F.when(F.col("id") % 5 > 0, F.lit(3)).alias("iid"),
+        (F.col("id") % 4).alias("cate"), F.concat(F.lit("wide"), F.col("id").cast("string")).alias("text"),
+    )
+    known = spark.createDataFrame(
+        [("uid", 3, 1), ("uid", 5, 2), ("hist_items", 3, 9), ("hist_cates", 2, 4)], "vocab string, id bigint, idx bigint"
+    )
+    columns = ["uid", "iid", "cate"]
+    stacked = VO.index_ids(rows, columns, known, hot_rows=50, key=["id"])
+    plain = VO.index_ids(rows, columns, known, hot_rows=50)
+    names = sorted(plain.columns)
+    assert sorted(stacked.select(names).collect()) == sorted(plain.select(names).collect())
+
+    def moves(df):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return sum("text#" in columns for columns in re.findall(r"\) Exchange\nInput[^:]*: \[(.*?)\]\n", plan))
+
+    assert (moves(stacked), moves(plain)) == (1, 3)
+    assert stacked.where("iid is null and iid_idx = 0").count() == 60
