@@ -692,9 +692,9 @@ def _split(spark, sf) -> str:
     return out
 
 
-def _shard_rows(spark, path: str) -> DataFrame:
+def _shard_rows(spark, path: str, schema=None) -> DataFrame:
     label = X.positive_class(F.col("label_0")).cast("bigint").alias("label")
-    shards = tables.read_shards(spark, path, "train")
+    shards = tables.read_shards(spark, path, "train", schema)
     return shards.select("shard_file", "row_in_shard", label, *S.USER_COLUMNS, *S.ITEM_COLUMNS, id_text("hist_items"))
 
 
@@ -709,7 +709,9 @@ def split_tail(spark, sf):
     """The last shards of that split, rewritten as equal ones and read back."""
     out = _split(spark, sf)
     jobs.even_out_tail(spark, f"{out}/train", f"{out}/even", "train", TAIL_START)
-    return _shard_rows(spark, f"{out}/even")
+    # A split with fewer shards has no tail, and no file to take the columns from.
+    written = spark.read.option("pathGlobFilter", "train-shard-*.parquet").parquet(f"{out}/train").schema
+    return _shard_rows(spark, f"{out}/even", written)
 
 
 @query
