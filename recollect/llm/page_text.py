@@ -23,6 +23,9 @@ from recollect.operators.staging import scope, stage
 # on this part of the pages that carry the page's commonest line: articles are copied a few times.
 TEMPLATE_PAGES = 3
 TEMPLATE_SHARE = 0.25
+# A line inside marked articles is a template line if this part of the host's articles carries it:
+# it is inside what the page calls its text, so it has to be of the site and not of a few articles.
+ARTICLE_SHARE = 0.5
 # Bits of the table of an alignment that are kept at a time.
 TABLE_BITS = 1 << 26
 _TAG = re.compile(
@@ -304,9 +307,14 @@ def _lengths(mine: Sequence[int], other: Sequence[int]) -> np.ndarray:
     return np.append(0, np.cumsum(1 - bits[: len(other)].astype(np.int64)))
 
 
+def _is_article(found: list[tuple[int, str]]) -> bool:
+    """True if the page marks its article; the text is then the article's blocks."""
+    return any(kind == _ARTICLE for kind, _ in found)
+
+
 def _lines(found: list[tuple[int, str]]) -> list[str]:
-    """Texts of the blocks that differencing may delete: all open ones, if no article is marked."""
-    return [] if any(kind == _ARTICLE for kind, _ in found) else [text for _, text in found]
+    """Texts of the blocks that differencing aligns: all outside marked elements, in articles or not."""
+    return [text for _, text in found]
 
 
 def _codes(lines: list[str]) -> np.ndarray:
@@ -314,23 +322,27 @@ def _codes(lines: list[str]) -> np.ndarray:
 
 
 def open_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, the hashed open lines of pages that have any, and ``digest`` of those lines."""
-    schema = "page_id long, url string, lines array<long>, digest binary"
+    """page_id, url, the hashed lines of pages that have any, whether the page marks its ``article``,
+    and ``digest`` of both.
+    """
+    schema = "page_id long, url string, lines array<long>, article boolean, digest binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [_codes(_lines(blocks(page.as_py() or ""))) for page in batch.column(2)]
+            found = [blocks(page.as_py() or "") for page in batch.column(2)]
+            coded = [_codes(_lines(x)) for x in found]
+            article = [_is_article(x) for x in found]
             has = pa.array([len(x) > 0 for x in coded], pa.bool_())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(coded, pa.list_(pa.int64())),
-                pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in coded], pa.binary()),
-            ], names=["page_id", "url", "lines", "digest"]).filter(has)
+                batch.column(0), batch.column(1), pa.array(coded, pa.list_(pa.int64())), pa.array(article, pa.bool_()),
+                pa.array([xxhash.xxh3_128_digest(x.tobytes() + bytes([y])) for x, y in zip(coded, article)], pa.binary()),
+            ], names=["page_id", "url", "lines", "article", "digest"]).filter(has)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
 def _aligned(classes: DataFrame) -> DataFrame:
-    """host, digest, ``line`` and ``few`` for every line that a class shares with a neighbour.
+    """host, digest, article, ``line`` and ``few`` for every line that a class shares with a neighbour.
 
     Classes are ordered by host, path, URL and id over the whole table (ranges, so a hot host is cut
     over many tasks). Lines are aligned with both neighbours of the same host by longest common
@@ -346,51 +358,61 @@ def _aligned(classes: DataFrame) -> DataFrame:
     for side, step in (("before2", -2), ("behind2", 2)):
         both = both.join(ordered.select((F.col("place") - step).alias("place"), F.col("host").alias(side)), "place", "left")
 
-    schema = "host string, digest binary, few boolean, line long"
+    schema = "host string, digest binary, article boolean, few boolean, line long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, few, lines = [], [], [], []
+            hosts, digests, article, few, lines = [], [], [], [], []
             for row in batch.to_pylist():
                 host, mine = row["host"], row["lines"]
                 sides = [s["near"] for s in (row["before"], row["behind"]) if s and s["near_host"] == host]
                 found = {mine[k] for near in sides for k in shared_lines(mine, near)}
                 hosts += [host] * len(found)
                 digests += [row["digest"]] * len(found)
+                article += [row["article"]] * len(found)
                 few += [len(sides) == 1 and host not in (row["before2"], row["behind2"])] * len(found)
                 lines += sorted(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(few, pa.bool_()), pa.array(lines, pa.int64())],
-                names=["host", "digest", "few", "line"],
+                [pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(article, pa.bool_()),
+                 pa.array(few, pa.bool_()), pa.array(lines, pa.int64())],
+                names=["host", "digest", "article", "few", "line"],
             )
 
-    return both.select("host", "digest", "lines", "before", "behind", "before2", "behind2").mapInArrow(run, schema)
+    return both.select("host", "digest", "article", "lines", "before", "behind", "before2", "behind2").mapInArrow(run, schema)
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
     """page_id and ``shared``: the hashed lines that differencing deletes from the page.
 
-    Pages of a host with equal open lines are one class, so neighbours are the nearest different
-    pages. A line shared with one is deleted if enough different pages of the host carry it:
-    TEMPLATE_PAGES (both, on a host of two) and TEMPLATE_SHARE of the pages with the commonest line
-    shared. So a template goes however much of the page it is, and lines that an article shares with
-    a few copies stay. All counts are grouped sums over the whole table.
+    Pages of a host with equal lines are one class, so neighbours are the nearest different pages.
+    A line shared with one is deleted if enough different pages of the host carry it. From a page
+    without a marked article: TEMPLATE_PAGES (both, on a host of two) and TEMPLATE_SHARE of the pages
+    with the commonest line shared. So a template goes however much of the page it is, and lines that
+    an article shares with a few copies stay. From a page that marks its article: TEMPLATE_PAGES and
+    ARTICLE_SHARE of all different pages of the host that mark one. All counts are grouped sums over
+    the whole table.
     """
     parts = url_parts(F.col("url"))
     placed = lines.withColumns({name: parts[name] for name in ("host", "path")})
     classes = stage(
         placed.groupBy("host", "digest").agg(
-            F.min(F.struct("path", "url", "page_id")).alias("first"), F.first("lines").alias("lines")
-        ).select("host", "digest", "first.*", "lines"), "page-classes",
+            F.min(F.struct("path", "url", "page_id")).alias("first"), F.first("lines").alias("lines"), F.first("article").alias("article")
+        ).select("host", "digest", "first.*", "lines", "article"), "page-classes",
     )
     aligned = stage(_aligned(classes), "aligned-lines")
-    carried = classes.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("pages")
+    marked = F.sum(F.col("article").cast("long"))
+    carried = classes.select("host", "article", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("pages"), marked.alias("articles")
     ).where("pages > 1")
     counted = lookup_join(aligned, stage(carried, "carried-lines"), ["host", "line"], "inner", spread=["digest"])
-    enough = lambda x, top: (F.col("few") | (x["pages"] >= TEMPLATE_PAGES)) & (x["pages"] >= TEMPLATE_SHARE * F.col(top))
-    deleted = counted.groupBy("host", "digest", "few").agg(
-        F.collect_list(F.struct("line", "pages")).alias("found"), F.max("pages").alias("top")
+    hosts = stage(classes.groupBy("host").agg(marked.alias("of_host")), "hosts")
+    counted = lookup_join(counted, hosts, ["host"], "inner", spread=["digest", "line"], count_in=aligned)
+    site = (F.col("articles") >= TEMPLATE_PAGES) & (F.col("articles") >= ARTICLE_SHARE * F.col("of_host"))
+    enough = lambda x, top: F.when(F.col("article"), x["site"]).otherwise(
+        (F.col("few") | (x["pages"] >= TEMPLATE_PAGES)) & (x["pages"] >= TEMPLATE_SHARE * F.col(top))
+    )
+    deleted = counted.groupBy("host", "digest", "article", "few").agg(
+        F.collect_list(F.struct("line", "pages", site.alias("site"))).alias("found"), F.max("pages").alias("top")
     ).select("host", "digest", F.transform(F.filter("found", lambda x: enough(x, "top")), lambda x: x["line"]).alias("shared"))
     deleted = stage(deleted.where(F.size("shared") > 0), "deleted-lines")
     return lookup_join(placed.select("page_id", "host", "digest"), deleted, ["host", "digest"], "inner", spread=["page_id"]).select(
@@ -403,9 +425,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks inside marked elements (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, comments) are left out. Where a page marks its article, the text is the article's
-    blocks and nothing is deleted from them. Otherwise all other blocks are open, and those that
-    the page shares with its nearest different page of the same host, and that enough different
-    pages of the host carry, are deleted. Rows that share an id (null is one) lose
+    blocks; otherwise all other blocks are open. From either, differencing deletes the lines that
+    the page shares with its nearest different page of the same host and that enough different
+    pages of the host carry (``template_lines``). Rows that share an id (null is one) lose
     the shared lines of any of them.
     """
     with scope() as keep:
@@ -424,13 +446,10 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, gone in zip(batch.column(2), batch.column(3).to_pylist()):
                 found = blocks(page.as_py() or "")
-                if any(kind == _ARTICLE for kind, _ in found):
-                    kept = [text for kind, text in found if kind == _ARTICLE]
-                else:
-                    kept = [text for _, text in found]
-                    if gone:
-                        gone = set(gone)
-                        kept = [text for text, code in zip(kept, _codes(kept).tolist()) if code not in gone]
+                kept = [text for kind, text in found if kind == _ARTICLE] if _is_article(found) else _lines(found)
+                if gone:
+                    gone = set(gone)
+                    kept = [text for text, code in zip(kept, _codes(kept).tolist()) if code not in gone]
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

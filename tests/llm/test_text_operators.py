@@ -249,6 +249,26 @@ def test_templates_go_and_copied_articles_stay(spark):
     assert all(got[40 + k] == story(f"t{k}") for k in range(2))
 
 
+def test_differencing_takes_part_where_pages_mark_their_article(spark):
+    def page(own, notice="Read our letter"):
+        return f"<p>open menu</p><article><h1>{own[0]}</h1>{''.join(f'<p>{x}</p>' for x in [*own[1:], notice])}</article>"
+
+    story = lambda name, n=3: [f"{name} {k}" for k in range(n)]
+    rows = [(k, f"http://site.org/{k}", page(story(f"s{k}"))) for k in range(6)]  # a notice without a mark, on every page
+    # Copies with a line changed, among enough other articles, stay; so does what two pages share.
+    rows += [(10 + k, f"http://copy.org/a{k}", page(story("same", 9) + [f"c{k}"], f"n{k}")) for k in range(4)]
+    rows += [(20 + k, f"http://copy.org/b{k}", page(story(f"b{k}"), f"m{k}")) for k in range(6)]
+    rows += [(30 + k, f"http://two.org/{k}", page(story(f"t{k}"))) for k in range(2)]
+    rows += [(40, "http://site.org/9", "<p>open menu</p><p>plain page</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in page_text.extract(pages).collect()}
+    assert all(got[k] == story(f"s{k}") for k in range(6))
+    assert all(got[10 + k] == [*story("same", 9), f"c{k}", f"n{k}"] for k in range(4))
+    assert all(got[20 + k] == [*story(f"b{k}"), f"m{k}"] for k in range(6))
+    assert all(got[30 + k] == [*story(f"t{k}"), "Read our letter"] for k in range(2))
+    assert got[40] == ["plain page"]
+
+
 def test_notices_are_found_within_lines_and_named_by_their_version(spark):
     mit = [text for name, text in license_scan.TEMPLATES if name == "MIT"][-1]
     bsd = {name: text for name, text in license_scan.TEMPLATES if name.startswith("BSD")}
