@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ WIDE_GRAMS, WIDE_BITS = 512, 4
 # Documents of one leaf block of a signature tree, and the children of an inner node.
 BLOCK_ROWS = 256
 FANOUT = 8
+# A document carries this many of its grams, the smallest ones, so that a pair that meets in many
+# grams comes out of one of them. Fewer or more change only how often a pair comes out.
+FIRST_GRAMS = 32
 # Part of all texts that is read to find the n-grams that many texts share, the least number of
 # texts for it, how many of those texts make a gram frequent, and how many frequent grams are set
 # aside. As a fixed part it finds grams above a fixed number of texts in a table of any size. They
@@ -285,7 +289,7 @@ def _bit_rows(bits: pa.Array) -> np.ndarray:
 
 
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, that may agree, from rows (gram, id, size, bits, class) by gram.
+    """Pairs (a, b), a < b, that may agree, from staged rows (gram, id, size, bits, class) by gram.
 
     Every gram's members form the leaves of one tree. Its first level below the root are blocks:
     documents of one size band, dealt by a hash into as many blocks as keep each near BLOCK_ROWS.
@@ -293,12 +297,21 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     gram that may still reach the overlap are the tasks, in which the trees below are walked. So a
     gram with any number of members is cut over many tasks, and members move only to the blocks
     they may have a partner in. Members of one class are linked already and not paired.
+
+    Two documents of a family meet in many grams. Each carries the smallest FIRST_GRAMS of its grams;
+    a gram leaves out a pair that both lists show in a smaller one. In its smallest common gram a
+    pair is never left out; only where that gram lies beyond a list may it come out repeatedly. An
+    id with several different texts has no list, as its rows don't tell them apart.
     """
+    listed = members.groupBy("id").agg(F.sort_array(F.collect_list("gram")).alias("grams")).select(
+        "id", F.when(F.size("grams") == F.size(F.array_distinct("grams")), F.slice("grams", 1, FIRST_GRAMS)).alias("first")
+    )
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     banded = members.withColumn("band", band)
     counts = banded.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = stage(
-        banded.join(counts, ["gram", "band"])
+        banded.join(counts, ["gram", "band"]).join(listed, "id")
+        .withColumn("first", F.filter("first", lambda x: x < F.col("gram")))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"), "leaves",
     )
     words = [F.get("bits", k) for k in range(BITMAP_BITS // 64)]
@@ -339,7 +352,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         sides[0].select("pair", "gram", "band", "block"), ["pair", "gram", "band", "block"], "left_anti"
     )
     moved = rows.join(sides[0].union(sides[1].select(sides[0].columns)), ["gram", "band", "block"]).select(
-        "pair", "side", "id", "size", "bits", "class"
+        "pair", "side", "id", "size", "bits", "class", "first"
     )
     parts = moved.repartition("pair").sortWithinPartitions("pair", "side")
 
@@ -349,7 +362,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return parts.mapInArrow(run, "a long, b long")
 
 
 def _walk(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,11 +374,29 @@ def _walk(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     other = Tree(sizes[right], bits[right])
     a, b = tree.pairs(other, percent)
     a, b = left[a], right[b]
-    kept = (classes[a] != classes[b]) & (ids[a] != ids[b])
+    # Of a block with itself either order is one pair.
+    kept = (classes[a] != classes[b]) & ((ids[a] < ids[b]) if right is left else (ids[a] != ids[b]))
+    a, b = a[kept], b[kept]
+    kept = ~_met_before(group.column("first").combine_chunks(), a, b)
     a, b = ids[a[kept]], ids[b[kept]]
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _met_before(first: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of places whether their lists share an entry; a null list shares none."""
+    rows = np.repeat(np.arange(len(first)), pc.fill_null(pc.list_value_length(first), 0).to_numpy())
+    _, entry, times = np.unique(first.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    at = np.minimum(np.searchsorted(several, entry), max(len(several) - 1, 0))
+    has = np.zeros((len(first), len(several)), bool)
+    if len(several):
+        common = several[at] == entry
+        has[rows[common], at[common]] = True
+    bits = np.packbits(has, axis=1)
+    found = [(bits[a[k:k + 4096]] & bits[b[k:k + 4096]]).any(axis=1) for k in range(0, len(a), 4096)]
+    return np.concatenate([np.zeros(0, bool), *found])
+
+
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Columns id, size, component for columns ``id`` and ``text`` of ``docs``, one row per row.
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.llm import embedding_dedup, jaccard_join, kdtree_shards, source_mix, topk_search, url_filter
@@ -255,6 +256,30 @@ def test_jaccard_join_equals_brute_force(spark):
     assert jaccard_join.near_copies(docs.limit(0)).count() == 0
 
 
+def test_a_pair_comes_out_of_one_of_its_grams():
+    """Members of a family meet in many grams; each pair is made once, none is lost, and a null list leaves none out."""
+    rng = np.random.default_rng(7)
+    sets = [sorted({*range(40), *rng.choice(np.arange(40, 60), 10, replace=False).tolist()}) for _ in range(24)]
+    bits = [jaccard_join.bitmap(np.array(grams, np.uint64)).view(np.int64).tolist() for grams in sets]
+
+    def made(listed):
+        found = []
+        for gram in range(60):
+            keys = [k for k, grams in enumerate(sets) if gram in grams]
+            first = [[g for g in sets[k][:32] if g < gram] if listed(k) else None for k in keys]
+            a, b = jaccard_join._walk(pa.table({
+                "pair": [gram] * len(keys), "side": [0] * len(keys), "id": keys, "size": [len(sets[k]) for k in keys],
+                "bits": pa.array([bits[k] for k in keys], pa.list_(pa.int64())), "class": keys,
+                "first": pa.array(first, pa.list_(pa.int64())),
+            }), 60)
+            found += zip(a.tolist(), b.tolist())
+        return found
+
+    everything = sorted((a, b) for a in range(24) for b in range(a + 1, 24))
+    assert sorted(made(lambda k: True)) == everything
+    assert {*made(lambda k: k % 2)} == {*everything}
+
+
 def test_tree_walk_loses_no_pair():
     rng = np.random.default_rng(12)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(150)]
