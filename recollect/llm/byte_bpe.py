@@ -22,7 +22,6 @@ from recollect.llm.common import bounded_batches, give_back_memory
 # Bytes of text whose words are merged together, and bytes of encoded words that a task remembers.
 CORPUS_BYTES = 3 << 19
 MEMORY_BYTES = 16 << 20
-_PAIR = 1 << 32
 # A single space between two other characters. No match of a usual pre-split pattern crosses it.
 _GAP = re.compile(r" (?<=\S )(?=\S)")
 
@@ -42,33 +41,42 @@ class Merges:
         single = [bytes([k]) for k in range(256)]
         self.of_byte = np.array([self.ranks[k] for k in single], dtype=np.int64)
         self.of_two = np.array([self.ranks.get(a + b, -1) for a in single for b in single], dtype=np.int64)
-        self.pairs = keys, ranks = self._all_pairs()
+        left, right, ranks = self._all_pairs()
+        # Pairs by their left and by their right token: where a token's pairs begin, the other tokens, the ranks.
+        self.pairs = self._by(left, right, ranks), self._by(right, left, ranks)
         # Tokens that form a pair whose rank is not above their own.
-        self.early = {*(keys // _PAIR)[ranks <= keys // _PAIR].tolist(), *(keys % _PAIR)[ranks <= keys % _PAIR].tolist()}
+        self.early = {*left[ranks <= left].tolist(), *right[ranks <= right].tolist()}
         self.words: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.bytes = 0
 
-    def _all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every pair of tokens that forms a token, as sorted keys, and its rank."""
+    def _all_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Left and right token of every pair that forms a token, and its rank."""
         of = self.ranks
-        keys, ranks = array("q"), array("q")
+        lefts, rights, ranks = array("q"), array("q"), array("q")
         for token, rank in of.items():
             for k in range(1, len(token)):
                 left, right = of.get(token[:k]), of.get(token[k:])
                 if left is not None and right is not None:
-                    keys.append(left * _PAIR + right)
+                    lefts.append(left)
+                    rights.append(right)
                     ranks.append(rank)
-        keys, ranks = np.frombuffer(keys, np.int64), np.frombuffer(ranks, np.int64)
-        order = np.argsort(keys)
-        return np.append(keys[order], -1), np.append(ranks[order], -1)
-
-    def _ranks(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
-        """Rank of each pair of neighbours, -1 if they don't merge."""
-        keys, ranks = self.pairs
-        wanted = left * _PAIR + right
-        at = np.searchsorted(keys[:-1], wanted)
-        return np.where(keys[at] == wanted, ranks[at], -1)
+        return np.frombuffer(lefts, np.int64), np.frombuffer(rights, np.int64), np.frombuffer(ranks, np.int64)
+
+    def _by(self, token: np.ndarray, other: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs ordered by ``token``, then ``other``, and where the pairs of every token begin."""
+        order = np.lexsort((other, token))
+        return np.searchsorted(token[order], np.arange(max(self.ranks.values()) + 2)), other[order], ranks[order]
+
+    def _ranks(self, now: int, other: np.ndarray, leads: bool) -> np.ndarray:
+        """Rank of the pair of token ``now`` with each of ``other``, -1 if they don't merge; ``now`` leads or follows."""
+        begins, others, ranks = self.pairs[0 if leads else 1]
+        start, stop = begins[now], begins[now + 1]
+        if start == stop:
+            return np.full(len(other), -1)
+        keys = others[start:stop]
+        at = np.minimum(keys.searchsorted(other), stop - start - 1)
+        return np.where(keys[at] == other, ranks[start:stop][at], -1)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Packed token ids of every word; no word is empty.
@@ -102,9 +110,11 @@ class Merges:
         while queue:
             now = heapq.heappop(queue)
             at = np.concatenate(places.pop(now))
-            at = np.unique(at[pair[at] == now])
+            at = at[pair[at] == now]
             if not len(at):
                 continue
+            at.sort()
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
             # In a run of overlapping pairs every second one merges, from the left.
             joined = np.concatenate([[False], after[at[:-1]] == at[1:]])
             if joined.any():
@@ -115,7 +125,7 @@ class Merges:
                 made_right, made_left = self._made(now, token, left, right)
             if now in self.early and (
                 ((made_right >= 0) & (made_right <= now)).any() or ((made_left >= 0) & (made_left <= now)).any()
-                or 0 <= int(self._ranks(np.array([now]), np.array([now]))[0]) <= now
+                or 0 <= int(self._ranks(now, np.array([now]), True)[0]) <= now
             ):
                 kept = np.concatenate([[True], word_of[at[1:]] != word_of[at[:-1]]])
                 rest = at[~kept]
@@ -142,12 +152,8 @@ class Merges:
         self, now: int, token: np.ndarray, left: np.ndarray, right: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the pairs that token ``now`` forms with its right and its left neighbours."""
-        made = []
-        for near, leads in ((right, True), (left, False)):
-            other = token[near]
-            ranks = self._ranks(now, other) if leads else self._ranks(other, now)
-            made.append(np.where(near >= 0, ranks, -1))
-        return made[0], made[1]
+        # Place -1, no neighbour, holds no token.
+        return self._ranks(now, token[right], True), self._ranks(now, token[left], False)
 
     @staticmethod
     def _add(places: dict[int, list[np.ndarray]], queue: list[int], ranks: np.ndarray, where: np.ndarray) -> None:
@@ -164,33 +170,48 @@ class Merges:
                 places[rank] = [part]
                 heapq.heappush(queue, rank)
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode unknown chunks of text, each with the space before it, all as one corpus."""
+    def _learn(self, chunks: set[str], heads: set[str]) -> dict[str, bytes]:
+        """Encode unknown chunks of text, each with the space before it, and the words ``heads``, all as one corpus.
+
+        Returns the ids of ``heads``, which are not remembered.
+        """
         spaced, words, ranks = self.spaced, self.words, self.ranks
         # A chunk of letters is one word; others are split. Words with a space are kept as chunks.
-        fresh: dict[tuple[bool, str], bytes] = {}
+        fresh: dict[str, bytes] = {}
+        fresh_words: dict[str, bytes] = {}
+        fresh_heads: dict[str, bytes] = {}
         split = {}
-
-        def word(has_space: bool, text: str) -> None:
-            whole = ranks.get(raw := (f" {text}" if has_space else text).encode())
-            if whole is None:
-                fresh[has_space, text] = raw
-            else:
-                (spaced if has_space else words)[text] = whole.to_bytes(4, "little")
-
+        first = {}
         for chunk in chunks:
             if chunk.isalpha():
-                word(True, chunk)
+                raw = f" {chunk}".encode()
+                if raw in ranks:
+                    spaced[chunk] = ranks[raw].to_bytes(4, "little")
+                else:
+                    fresh[chunk] = raw
             else:
-                split[chunk] = [(w[0] == " ", w[1:] if w[0] == " " else w) for w in self.words_of(f" {chunk}")]
+                split[chunk] = [(True, w[1:]) if w[0] == " " else (False, w) for w in self.words_of(f" {chunk}")]
         for found in split.values():
-            for key in found:
-                if key not in fresh and key[1] not in (spaced if key[0] else words):
-                    word(*key)
-        for (has_space, text), ids in zip(fresh, self.replay(list(fresh.values()))):
-            (spaced if has_space else words)[text] = ids
+            for has_space, text in found:
+                known, new = (spaced, fresh) if has_space else (words, fresh_words)
+                if text not in new and text not in known:
+                    raw = (f" {text}" if has_space else text).encode()
+                    if raw in ranks:
+                        known[text] = ranks[raw].to_bytes(4, "little")
+                    else:
+                        new[text] = raw
+        for text in heads:
+            raw = text.encode()
+            if raw in ranks:
+                first[text] = ranks[raw].to_bytes(4, "little")
+            else:
+                fresh_heads[text] = raw
+        done = iter(self.replay([*fresh.values(), *fresh_words.values(), *fresh_heads.values()]))
+        for known, new in ((spaced, fresh), (words, fresh_words), (first, fresh_heads)):
+            known.update(zip(new, done))
         for chunk, found in split.items():
             spaced[chunk] = b"".join([(spaced if has_space else words)[text] for has_space, text in found])
+        return first
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; the words of all texts are merged together."""
@@ -201,18 +222,12 @@ class Merges:
         for chunks in split:
             fresh.update(chunks[1:])
         fresh.difference_update(self.spaced)
-        self._learn(fresh)
+        # No space precedes the first chunk of a text.
+        found = {head: self.words_of(head) for head in {chunks[0] for chunks in split}}
+        ids = self._learn(fresh, {word for words in found.values() for word in words})
         # A chunk is remembered as text and as ids; its words may be, too.
         self.bytes += 2 * sum(map(len, fresh)) + 160 * len(fresh)
-        heads = {chunks[0]: b"" for chunks in split}
-        # No space precedes the first chunk of a text.
-        found = {head: self.words_of(head) for head in heads}
-        fresh = {word: word.encode() for words in found.values() for word in words}
-        ids = {w: self.ranks[raw].to_bytes(4, "little") for w, raw in fresh.items() if raw in self.ranks}
-        fresh = {w: raw for w, raw in fresh.items() if w not in ids}
-        ids.update(zip(fresh, self.replay(list(fresh.values()))))
-        for head, words in found.items():
-            heads[head] = b"".join([ids[word] for word in words])
+        heads = {head: b"".join([ids[word] for word in words]) for head, words in found.items()}
         known = self.spaced.__getitem__
         return [heads[chunks[0]] + b"".join(map(known, chunks[1:])) for chunks in split]
 

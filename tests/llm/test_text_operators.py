@@ -50,6 +50,16 @@ def test_bpe_follows_ranks_below_the_merged_token():
         assert np.frombuffer(packed, "<u4").tolist() == encoding.encode_ordinary(text), text
 
 
+def test_bpe_merges_all_words_of_a_batch_in_one_replay(library, monkeypatch):
+    merges, encoding = library
+    merges.forget()
+    calls, replay = [], merges.replay
+    monkeypatch.setattr(merges, "replay", lambda words: calls.append(len(words)) or replay(words))
+    texts = ["zqxfirst zqxsecond, zqxthird!", "zqxother zqxsecond"]
+    packed = merges.encode(texts)
+    assert len(calls) == 1 and [np.frombuffer(x, "<u4").tolist() for x in packed] == [encoding.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_query_keeps_rows_and_ignores_other_columns(spark, library):
     rows = [(k, text, "x") for k, text in enumerate(TEXTS)] + [(3, "  a", "y"), (None, "n", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
