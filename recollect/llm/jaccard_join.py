@@ -22,7 +22,8 @@ from recollect.operators.staging import scope, stage
 # WIDE_BITS bits for each gram, by which single pairs are judged.
 BITMAP_BITS = 2048
 WIDE_GRAMS, WIDE_BITS = 512, 4
-# Documents of one leaf block of a signature tree, and the children of an inner node.
+# Documents of one leaf block of a signature tree, and the children of an inner node. A gram of no
+# more documents is one block.
 BLOCK_ROWS = 256
 FANOUT = 8
 # A document carries this many of its grams, the smallest ones, so that a pair that meets in many
@@ -111,7 +112,9 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: list[int]) -> DataFra
 
     Two sets that agree in at least ``percent`` share one of the first size - least + 1 grams of
     any common order, where least is the smallest intersection that the set may have with a
-    partner. The order puts frequent grams last.
+    partner. The order puts frequent grams last. A gram of the prefix is a number that sorts in
+    this order: its hash without the lowest bit, negative unless it is frequent. Two grams with
+    one number only bring more sets together.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).astype(np.uint64)))
     schema = T.StructType([
@@ -133,10 +136,11 @@ def _sets(docs: DataFrame, n: int, percent: int, frequent: list[int]) -> DataFra
                 wide.append(wide_bitmap(grams))
                 # A partner has at least percent of this set's size, and so has the intersection.
                 first = size - -(-percent * size // 100) + 1 if size else 0
+                early = np.ones(size, bool)
                 if len(late) and size:
-                    is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
-                    grams = np.concatenate([grams[~is_late], grams[is_late]])
-                prefixes.append(grams[:first].view(np.int64))
+                    early = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] != grams
+                places = (grams >> np.uint64(1)) | (early.astype(np.uint64) << np.uint64(63))
+                prefixes.append(np.sort(places.view(np.int64))[:first])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), _lists(bits),
                 pa.array(wide, pa.binary()), _lists(prefixes),
@@ -229,12 +233,17 @@ def _below(nodes: np.ndarray, partners: np.ndarray, count: int) -> tuple[np.ndar
     return children[children < count], again[children < count]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole texts agree in at least ``percent``; ``pairs`` is staged."""
+def _paired(table: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Rows of ``table`` whose id is in a pair, staged once for both sides; ``pairs`` is staged."""
     ids = stage(
         pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
     )
-    texts = stage(docs.join(small_side(ids, 32), "id", "left_semi"), "texts")
+    return stage(table.join(small_side(ids, 32), "id", "left_semi"), name)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole texts agree in at least ``percent``; ``pairs`` is staged."""
+    texts = _paired(docs, pairs, "texts")
     # The partner that many pairs may share comes last: its text isn't moved again. A text that
     # leads very many pairs is repeated for pieces of them.
     side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
@@ -258,13 +267,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose bitmaps and sizes leave room for the required overlap."""
-    side = lambda name: heads.select(
+    """Pairs (a, b) whose bitmaps and sizes leave room for the required overlap; ``pairs`` is staged."""
+    known = _paired(heads.select("id", "size", "bits", "wide"), pairs, "bitmaps")
+    side = lambda name: known.select(
         *[F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in ("id", "size", "bits", "wide")]
     )
     columns = ["a", "b", *[f"{c}_{name}" for c in ("size", "bits", "wide") for name in "ab"]]
-    known = lookup_join(lookup_join(pairs, side("b"), "b", "inner", ["a"]), side("a"), "a", "inner", ["b"], count_in=pairs)
-    joined = known.select(columns)
+    both = lookup_join(lookup_join(pairs, side("b"), "b", "inner", ["a"]), side("a"), "a", "inner", ["b"], count_in=pairs)
+    joined = both.select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,38 +298,42 @@ def _bit_rows(bits: pa.Array) -> np.ndarray:
     return matrix(bits).view(np.uint64)
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, that may agree, from staged rows (gram, id, size, bits, class) by gram.
+def _tree_pairs(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, that may agree, from staged rows (gram, many, id, size, upto, class) by gram.
 
-    Every gram's members form the leaves of one tree. Its first level below the root are blocks:
-    documents of one size band, dealt by a hash into as many blocks as keep each near BLOCK_ROWS.
-    A block's node is (gram, band, block) with size range and OR-combined bitmap; node pairs of a
-    gram that may still reach the overlap are the tasks, in which the trees below are walked. So a
-    gram with any number of members is cut over many tasks, and members move only to the blocks
-    they may have a partner in. Members of one class are linked already and not paired.
+    Every gram's members form the leaves of one tree. With more than BLOCK_ROWS of them (``many``)
+    the tree's first level below the root are blocks: documents of one size band, dealt by a hash
+    into as many blocks as keep each near BLOCK_ROWS. A block's node is (gram, band, block) with size
+    range and OR-combined bitmap; node pairs of a gram that may still reach the overlap are the
+    tasks, in which the trees below are walked. So a gram with any number of members is cut over
+    many tasks, and members move only to the blocks they may have a partner in. Other grams are one
+    task each. Members of one class are linked already and not paired. Bitmaps are looked up once the
+    tasks are known: they move to blocks and to tasks, not with every join before.
 
-    Two documents of a family meet in many grams. Each carries the smallest FIRST_GRAMS of its grams;
-    a gram leaves out a pair that both lists show in a smaller one. In its smallest common gram a
-    pair is never left out; only where that gram lies beyond a list may it come out repeatedly. An
-    id with several different texts has no list, as its rows don't tell them apart.
+    Two documents of a family meet in many grams. Each carries the first FIRST_GRAMS of its grams;
+    a gram leaves out a pair that both lists show in an earlier one, and a pair of which either has
+    a size above the other's ``upto``. In its first common gram a pair is never left out; only where
+    that gram lies beyond a list may it come out repeatedly. An id with several different texts has
+    no list, as its rows don't tell them apart.
     """
     listed = members.groupBy("id").agg(F.sort_array(F.collect_list("gram")).alias("grams")).select(
         "id", F.when(F.size("grams") == F.size(F.array_distinct("grams")), F.slice("grams", 1, FIRST_GRAMS)).alias("first")
     )
+    known = stage(listed.join(heads.select("id", "bits"), "id"), "known")
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    banded = members.withColumn("band", band)
+    banded = members.where("many").withColumn("band", band)
     counts = banded.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = stage(
-        banded.join(counts, ["gram", "band"]).join(listed, "id")
-        .withColumn("first", F.filter("first", lambda x: x < F.col("gram")))
+    leaves = stage(
+        banded.join(counts, ["gram", "band"])
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"), "leaves",
     )
+    rows = leaves.join(known.drop("first"), "id")
     words = [F.get("bits", k) for k in range(BITMAP_BITS // 64)]
     excess = F.col("size") - sum((F.bit_count(word) for word in words), F.lit(0))
     nodes = rows.withColumn("excess", excess).withColumns({f"w{k}": word for k, word in enumerate(words)}).groupBy(
         "gram", "band", "block"
     ).agg(
-        F.min("size").alias("low"), F.max("size").alias("high"), F.max("excess").alias("excess"),
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("upto").alias("upto"), F.max("excess").alias("excess"),
         F.min("class").alias("class_low"), F.max("class").alias("class_high"),
         *[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(len(words))],
     )
@@ -336,7 +350,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     node_pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & order & (
         F.col("r.band") - F.col("l.band") <= 2
     )).where(
-        (100 * F.col("l.high") >= percent * F.col("r.low")) & (100 * F.col("r.high") >= percent * F.col("l.low"))
+        (F.col("l.low") <= F.col("r.upto")) & (F.col("r.low") <= F.col("l.upto"))
         & (most * (100 + percent) >= percent * (F.col("l.low") + F.col("r.low"))) & ~one_class
     ).select(
         F.col("l.gram").alias("gram"), F.col("l.band").alias("band_l"), F.col("l.block").alias("block_l"),
@@ -351,13 +365,15 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     sides[1] = sides[1].join(
         sides[0].select("pair", "gram", "band", "block"), ["pair", "gram", "band", "block"], "left_anti"
     )
-    moved = rows.join(sides[0].union(sides[1].select(sides[0].columns)), ["gram", "band", "block"]).select(
-        "pair", "side", "id", "size", "bits", "class", "first"
-    )
-    parts = moved.repartition("pair").sortWithinPartitions("pair", "side")
+    columns = ["many", "pair", "side", "gram", "id", "size", "upto", "class"]
+    moved = leaves.join(sides[0].union(sides[1].select(sides[0].columns)), ["gram", "band", "block"]).select(columns)
+    whole = members.where("not many").withColumns({"pair": F.col("gram"), "side": F.lit(0)}).select(columns)
+    parts = moved.union(whole).join(known, "id").select(
+        "many", "pair", "side", "id", "size", "upto", "bits", "class", F.filter("first", lambda x: x < F.col("gram")).alias("first")
+    ).repartition("many", "pair").sortWithinPartitions("many", "pair", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 1):
+        for group in groups(batches, 2):
             a, b = _walk(group, percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -376,6 +392,9 @@ def _walk(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = left[a], right[b]
     # Of a block with itself either order is one pair.
     kept = (classes[a] != classes[b]) & ((ids[a] < ids[b]) if right is left else (ids[a] != ids[b]))
+    if "upto" in group.column_names:
+        upto = group.column("upto").to_numpy()
+        kept &= (sizes[a] <= upto[b]) & (sizes[b] <= upto[a])
     a, b = a[kept], b[kept]
     kept = ~_met_before(group.column("first").combine_chunks(), a, b)
     a, b = ids[a[kept]], ids[b[kept]]
@@ -397,6 +416,28 @@ def _met_before(first: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return np.concatenate([np.zeros(0, bool), *found])
 
 
+def _classes(source: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged tables: (id, size) of every row, one row of ``_sets`` per class, pairs (a, b) of a class's id and another.
+
+    A class is all rows of an equal set and named by its smallest id. The wide columns move only for
+    ids that have one set in several rows.
+    """
+    with scope() as keep:
+        sets = stage(_sets(source, n, percent, _frequent(source.where(F.col("id").isNotNull()), n)), "sets")
+        full = sets.where((F.col("size") > 0) & F.col("id").isNotNull())
+        counted = stage(full.groupBy("id", "same").agg(F.count(F.lit(1)).alias("times")), "counted")
+        classes = stage(counted.groupBy("same").agg(F.min("id").alias("class")), "classes")
+        owned = counted.join(classes, "same")
+        tied = keep(owned.where("class != id").select(F.col("class").alias("a"), F.col("id").alias("b"), "same"), "tied")
+        again = stage(owned.where("class = id and times > 1").select("id", "same"), "again")
+        others = stage(tied.select(F.col("b").alias("id"), "same").union(again), "others")
+        columns = ["id", "size", "bits", "wide", "prefix"]
+        heads = full.join(small_side(others, 64), ["id", "same"], "left_anti").select(columns).union(
+            full.join(small_side(again, 64), ["id", "same"], "left_semi").dropDuplicates(["id", "same"]).select(columns)
+        )
+        return keep(sets.select("id", "size"), "sizes"), keep(heads, "heads"), tied
+
+
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Columns id, size, component for columns ``id`` and ``text`` of ``docs``, one row per row.
 
@@ -410,47 +451,48 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     grams; what these checks link is one group. Only grams whose members are still of several
     groups go to the signature trees, and only pairs of different groups come out of them, so a
     family of near copies costs about one check each and no pair of different groups is lost.
+    Where a gram is the first that two sets share, the grams before it are lost to the overlap: its
+    place in a set and the set's size give the largest partner (``upto``) that it may be first with.
+    Documents that have no partner of another group in a gram by these sizes leave it early.
     Every candidate pair is checked on whole texts, once its bitmaps leave room for enough overlap.
     """
     with scope() as keep:
         source = docs.select("id", F.col("text").cast("binary").alias("text"))
         named = source.where(F.col("id").isNotNull())
-        sets = stage(_sets(source, n, percent, _frequent(named, n)), "sets")
-        full = sets.where((F.col("size") > 0) & F.col("id").isNotNull())
-        classes = stage(
-            full.groupBy("same").agg(F.min("id").alias("class")), "classes"
-        )
-        tied = stage(
-            full.select("id", "same").distinct().join(classes, "same").where(F.col("class") != F.col("id"))
-            .select(F.col("class").alias("a"), F.col("id").alias("b"), "same"), "tied",
-        )
-        others = small_side(tied.select(F.col("b").alias("id"), "same"), 64)
-        heads = full.join(others, ["id", "same"], "left_anti").dropDuplicates(["id", "same"])
-        prefix = heads.select("id", "size", F.explode("prefix").alias("gram"))
+        sizes, heads, tied = _classes(source, n, percent)
+        upto = F.expr(f"{100 + percent} * (size - place) div {percent} - size")
+        prefix = heads.select("id", "size", F.posexplode("prefix").alias("place", "gram"))
         met = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("leader")).where("n > 1")
-        grams = stage(prefix.join(met.drop("n"), "gram"), "met")
+        grams = stage(prefix.join(met, "gram").withColumn("upto", upto).drop("place"), "met")
 
         near = (100 * F.col("size") >= percent * F.col("leader.size")) & (100 * F.col("leader.size") >= percent * F.col("size"))
         votes = grams.where((F.col("leader.id") < F.col("id")) & near).groupBy("id", F.col("leader.id").alias("lead")).count()
         chosen = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
-        star = stage(_plausible(chosen.select("a", F.col("id").alias("b")), heads, percent), "star")
+        chosen = stage(chosen.select("a", F.col("id").alias("b")), "chosen")
+        star = stage(_plausible(chosen, heads, percent), "star")
         first = stage(_verified(star, named, n, percent), "links")
         grouped = components(first)
 
         placed = grams.join(grouped, "id", "left").select(
-            "gram", "id", "size", F.coalesce("component", "id").alias("class")
+            "gram", "n", "id", "size", "upto", F.coalesce("component", "id").alias("class")
         )
-        # Grams with the same members are one: a digest of the members tells.
-        mixed = placed.groupBy("gram").agg(
+        # All pairs are only looked at in grams of one block.
+        block = placed.where(F.col("n") <= BLOCK_ROWS).drop("n")
+        left, right = block.alias("l"), block.alias("r")
+        partner = (F.col("l.size") <= F.col("r.upto")) & (F.col("r.size") <= F.col("l.upto")) & (F.col("l.class") != F.col("r.class"))
+        open_ = left.join(right, (F.col("l.gram") == F.col("r.gram")) & partner, "left_semi")
+        rows = stage(open_.union(placed.where(F.col("n") > BLOCK_ROWS).drop("n")), "open")
+        # Grams with the same members are one, the first: a digest of the members tells.
+        mixed = rows.groupBy("gram").agg(
             F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"),
-        ).where("x < y").groupBy("n", "one", "two").agg(F.min("gram").alias("gram")).select("gram")
-        members = placed.join(mixed, "gram").join(heads.select("id", "bits"), "id")
-        candidates = stage(_tree_pairs(stage(members, "members"), percent), "candidates")
+        ).where("x < y").groupBy("n", "one", "two").agg(F.min("gram").alias("gram"))
+        members = stage(rows.join(mixed.select("gram", (F.col("n") > BLOCK_ROWS).alias("many")), "gram"), "members")
+        candidates = stage(_tree_pairs(members, heads, percent).distinct(), "candidates")
         candidates = stage(_plausible(candidates, heads, percent), "plausible")
         second = _verified(candidates, named, n, percent)
         found = components(first.union(second).union(tied.select("a", "b")))
-        out = sets.select("id", "size").join(found, "id", "left").select(
+        out = sizes.join(found, "id", "left").select(
             "id", "size", F.coalesce("component", "id").alias("component")
         )
         return keep(out, "jaccard")

@@ -280,6 +280,45 @@ def test_a_pair_comes_out_of_one_of_its_grams():
     assert {*made(lambda k: k % 2)} == {*everything}
 
 
+def test_members_without_a_partner_do_not_reach_the_trees(spark, monkeypatch):
+    """Beginnings of one passage share grams, but none is within 90 % of another: no row gets a bitmap."""
+    rows, stage = {}, jaccard_join.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    words = [f"w{k}" for k in range(700)]
+    docs = spark.createDataFrame([(k, " ".join(words[:int(30 * 1.3**k)])) for k in range(12)], "doc_id long, text string")
+    got = jaccard_join.near_copies(docs).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert rows["met"] > 0 and rows["members"] == 0
+
+
+def test_first_common_grams_lose_no_pair(spark, monkeypatch):
+    """Sizes and places leave out no link, in single blocks and in many; ids with several rows or texts included."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(90)]
+    rows = []
+    for family in range(10):
+        words = rng.choice(vocabulary, rng.integers(20, 120)).tolist()
+        for _ in range(9):
+            start, stop = rng.integers(0, 5), len(words) - rng.integers(0, 5)
+            copy = words[start:stop] + rng.choice(vocabulary, rng.integers(0, 4)).tolist()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [rows[3], rows[3], (11, rows[40][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(k, grams(t, 3)) for k, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 85 * len(x | y)]
+    expected = roots(sorted({k for k, _ in sets}), links)
+    for name, size in (("BLOCK_ROWS", 256), ("BLOCK_ROWS", 4), ("FIRST_GRAMS", 1)):
+        monkeypatch.setattr(jaccard_join, name, size)
+        got = jaccard_join.near_copies(docs, 3, 85).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == expected
+
+
 def test_tree_walk_loses_no_pair():
     rng = np.random.default_rng(12)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(150)]
