@@ -419,8 +419,8 @@ def _met_before(first: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 def _classes(source: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Staged tables: (id, size) of every row, one row of ``_sets`` per class, pairs (a, b) of a class's id and another.
 
-    A class is all rows of an equal set and named by its smallest id. The wide columns move only for
-    ids that have one set in several rows.
+    A class is all rows of an equal set and named by its smallest id. While the list of copies can be
+    broadcast, the wide columns move only for ids that have one set in several rows; beyond, once.
     """
     with scope() as keep:
         sets = stage(_sets(source, n, percent, _frequent(source.where(F.col("id").isNotNull()), n)), "sets")
