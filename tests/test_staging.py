@@ -1,6 +1,8 @@
 """What staged tables leave on disk, and how often a feature table makes its input."""
 
+import re
 import time
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect.functions.ranking import Pooling
 from recollect.operators import features as FE
 from recollect.operators import staging
+from recollect.plans import views as V
 
 
 def shuffle_files(spark):
@@ -68,3 +71,22 @@ def test_feature_table_makes_its_input_once(spark, tmp_path, no_broadcast, metho
     assert vector_times() == 8 * (2 if method == "soft" else 1)
     if method == "soft":
         assert cate_times() == 3
+
+
+def test_histories_move_an_item_once(spark, tmp_path, no_broadcast):
+    """Lists are as the rows say, unknown and twice known items too; the part key stands for the item on the way."""
+    old, new = datetime(1999, 5, 1), datetime(2001, 5, 1)
+    orders = [(1, 7, old), (2, 7, old), (3, None, old), (4, 8, new)]
+    lines = [(2, 30, 1, 1), (1, 10, 1, 2), (1, 20, 1, 1), (2, None, 1, 2), (3, 10, 1, 1), (4, 10, 1, 1)]
+    parts = [(10, "Brand#1", "B", 1), (20, "Brand#2", "A", 2), (20, "Brand#2", "B", 2)]
+    for name, rows in {
+        "orders": [(k, c, d) for k, c, d in orders], "part": parts, "customer": [(7, 1, 5.0, "X"), (8, 2, 5.0, "Y")],
+        "lineitem": [(o, p, s, n, 1.0, 2.0, 0.0, 0.0, "R", "O", old) for o, p, s, n in lines],
+    }.items():
+        spark.createDataFrame(rows, V.TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    users = V.users(spark, str(tmp_path))
+    got = {r.uid: (r.hist_items, r.hist_cates) for r in users.collect()}
+    assert got == {8: ([21, 21, 11, 31, None], [1, 2, 2, 0, 0]), 9: ([], [])}
+    plan = users._jdf.queryExecution().optimizedPlan().toString()
+    folded = re.search(r"collect_list\(struct\(([^()]*)\)", plan).group(1)
+    assert "partkey" in folded and "item" not in folded
